@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton
+from tidemark.llm import bpe_automaton, ogg_column, packing, voronoi_knn, warc_index
 from tidemark.llm.shared import documents
 
 
@@ -16,12 +17,68 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_column.media_features(ogg_column.write_media(documents(spark, sf_dir)))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest_column(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi_knn.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return voronoi_knn.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum([q.v[i] * d.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_index.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to
+FROM g
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_ogg_media": op6_ogg_media,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_voronoi_knn": op8_voronoi_knn,
+    "op9_warc_index": op9_warc_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_voronoi_knn": OP8_SQL, "op9_warc_index": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton, ogg_column, packing, voronoi_knn, warc_index
+from tidemark.llm import bpe_automaton, license_scan, ogg_column, packing, toxicity, voronoi_knn, warc_index
 from tidemark.llm.shared import documents
 
 
@@ -17,10 +17,64 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def _op5_sql() -> str:
+    k = license_scan.K
+    rows = ", ".join(
+        f"({t.number}, '{t.label}', {t.base}, {len(t.words) - k + 1}, {len(t.words)}, {i}, '{' '.join(t.words[i : i + k])}')"
+        for t in license_scan.templates()
+        for i in range(len(t.words) - k + 1)
+    )
+    return f"""
+WITH t(template, label, base, grams, length, place, gram) AS (VALUES {rows}),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w)
+), v AS (
+  SELECT doc_id, template, label, base, grams, length, pos - place AS diagonal,
+         count(*) AS votes, min(pos) AS first, max(pos) AS last
+  FROM p JOIN t USING (gram) GROUP BY ALL
+), a AS (
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {license_scan.NEAR}, true) THEN 1 ELSE 0 END AS apart
+  FROM v
+), s AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM a
+), m AS (
+  SELECT doc_id, template, label, base, grams, length, span, sum(votes) AS votes,
+         min(first) AS first, max(last) + {k} AS stop, min(diagonal) AS start
+  FROM s GROUP BY ALL
+), f AS (
+  SELECT doc_id, label, base, start, least(1.0, CAST(votes AS DOUBLE) / grams) AS share FROM m
+  WHERE CASE WHEN base THEN votes = grams
+             ELSE least(1.0, CAST(votes AS DOUBLE) / grams) >= {license_scan.LEAST_SHARE} AND stop - first <= length + {2 * license_scan.NEAR} END
+), g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM f GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_column.media_features(ogg_column.write_media(documents(spark, sf_dir)))
 
@@ -74,11 +128,13 @@ FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_ogg_media": op6_ogg_media,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_voronoi_knn": op8_voronoi_knn,
     "op9_warc_index": op9_warc_index,
 }
 
-ORACLES: dict[str, str] = {"op8_voronoi_knn": OP8_SQL, "op9_warc_index": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_license_scan": _op5_sql(), "op8_voronoi_knn": OP8_SQL, "op9_warc_index": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton, license_scan, ogg_column, packing, toxicity, voronoi_knn, warc_index
+from tidemark.llm import bpe_automaton, license_scan, line_dedup, ogg_column, packing, toxicity, voronoi_knn, warc_index
 from tidemark.llm.shared import documents
 
 
@@ -21,6 +21,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, the lines that stay, and the numbers of those that go."""
+    docs = documents(spark, sf_dir)
+    gone = line_dedup.removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    n_removed = F.coalesce(F.size("removed_lines"), F.lit(0))
+    return n.join(gone, "doc_id", "left").select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines")
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
@@ -129,6 +140,7 @@ FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op6_ogg_media": op6_ogg_media,

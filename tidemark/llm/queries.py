@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton, license_scan, line_dedup, ogg_column, packing, toxicity, voronoi_knn, warc_index
+from tidemark.llm import bpe_automaton, jaccard_join, license_scan, line_dedup, ogg_column, packing, toxicity, voronoi_knn, warc_index
 from tidemark.llm.shared import documents
 
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that stay, and the numbers of those that go."""
     docs = documents(spark, sf_dir)
@@ -140,6 +144,7 @@ FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,

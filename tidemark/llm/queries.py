@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton, jaccard_join, license_scan, line_dedup, ogg_column, packing, toxicity, voronoi_knn, warc_index
+from tidemark.llm import bpe_automaton, jaccard_join, license_scan, line_dedup, ogg_column, packing, suffix_dedup, toxicity, voronoi_knn, warc_index
 from tidemark.llm.shared import documents
 
 
@@ -142,6 +142,11 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.apply_cuts(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_voronoi_knn": op8_voronoi_knn,
     "op9_warc_index": op9_warc_index,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op5_license_scan": _op5_sql(), "op8_voronoi_knn": OP8_SQL, "op9_warc_index": OP9_SQL}

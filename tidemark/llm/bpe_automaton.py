@@ -17,6 +17,7 @@ Encoding follows arcs over the bytes of a word; decoding emits the labels of the
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,17 +25,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.latin import LETTERS, NUMBERS, SPACES, is_plain
 from tidemark.llm.shared import id_text
 
 _NEVER = 1 << 60
 #: Characters with the Unicode property White_Space.
-WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
+WHITE_SPACE = "".join(f"\\u{c:04x}" for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: The split that byte-level BPE vocabularies of this kind state in their files (fixed value).
 PRE_SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 )
 
+#: The same split of plain Latin texts, words first as they are the most frequent.
+LATIN_SPLIT = (
+    rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+"
+    rf"| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+)
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the
@@ -50,8 +57,8 @@ class MergeAutomaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
         self.token = {b: t for t, b in labels.items()}
-        self.longest = max(map(len, labels.values()), default=1)
-        self.prefixes = {b[:k] for b in self.token for k in range(1, len(b) + 1)}
+        #: Every prefix of a label, with the token it is, or -1.
+        self.steps = {b[:k]: -1 for b in self.token for k in range(1, len(b) + 1)} | self.token
         self._parent = [-1]
         self._born = [-1]
         self._removed: list[dict[int, int]] = [{}]
@@ -76,7 +83,7 @@ class MergeAutomaton:
                 self.enters[u] = q = len(entering) - 1
             self._removed[q][v] = rank
             self._made[uv] = (rank, u)
-        self._table: dict[tuple[int, int], bool] = {}
+        self._table: dict[int, bool] = {}
 
     @property
     def states(self) -> int:
@@ -98,41 +105,50 @@ class MergeAutomaton:
                 at, t = rank, left
 
     def arc(self, q: int, t: int) -> bool:
-        key = (q, t)
+        key = q << 32 | t
         found = self._table.get(key)
         if found is None:
-            if len(self._table) > 2_000_000:
+            if len(self._table) > 500_000:
                 self._table.clear()
             found = self._table[key] = t in self.enters and self._has(q, t, _NEVER - 1)
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        """The ids on the one accepting path of a pre-split word."""
-        n = len(word)
-        whole = self.token.get(word)
-        if whole is not None and self.arc(0, whole):
-            return [whole]
-        state = [-1] * (n + 1)
-        came: list[int] = [0] * (n + 1)
-        state[0] = 0
-        token, prefixes, arc, enters = self.token, self.prefixes, self.arc, self.enters
-        for i in range(n):
-            q = state[i]
-            if q < 0:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                if piece not in prefixes:
-                    break
-                t = token.get(piece)
-                if t is not None and state[j] < 0 and arc(q, t):
-                    state[j] = enters[t]
-                    came[j] = t
-        ids, i = [], n
-        while i:
-            ids.append(came[i])
-            i -= len(self.labels[came[i]])
-        return ids[::-1]
+        """The ids on the one accepting path of a pre-split word.
+
+        Longest arcs are tried first. A prefix has one path, so a position that leads nowhere is
+        never tried again and the search stays linear in the word.
+        """
+        steps, arc, enters = self.steps, self.arc, self.enters
+        n, i, q = len(word), 0, 0
+        ids: list[int] = []
+        todo: list[list[tuple[int, int]]] = []  # by depth: (end, token) still to try, the longest last
+        dead: set[int] = set()
+        while i < n:
+            options, j = [], i + 1
+            while j <= n and (t := steps.get(word[i:j])) is not None:
+                if t >= 0:
+                    options.append((j, t))
+                j += 1
+            todo.append(options)
+            while True:
+                options = todo[-1]
+                while options:
+                    j, t = options.pop()
+                    if j not in dead and arc(q, t):
+                        break
+                else:
+                    todo.pop()
+                    if not todo:
+                        raise ValueError("the vocabulary lacks a byte")
+                    dead.add(i)
+                    i -= len(self.labels[ids.pop()])
+                    q = enters[ids[-1]] if ids else 0
+                    continue
+                ids.append(t)
+                i, q = j, enters[t]
+                break
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.labels[t] for t in ids])
@@ -145,7 +161,7 @@ class ByteBpe:
     emptied when full, so it stays bounded on any corpus.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -155,36 +171,35 @@ class ByteBpe:
         self.automaton = MergeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special_text = {t: s for s, t in self.special.items()}
-        self._split = regex.compile(PRE_SPLIT)
+        self._split, self._latin = regex.compile(PRE_SPLIT), re.compile(LATIN_SPLIT)
         some = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, some)) + ")") if some else None
         self._memory, self._most = {}, memory
 
-    def _word(self, word: str) -> tuple[str, bytes]:
-        ids = self.automaton.encode(word.encode("utf-8"))
+    def _learn(self, words: list[str]) -> None:
         if len(self._memory) >= self._most:
             self._memory.clear()
-        found = self._memory[word] = (",".join(map(str, ids)), self.automaton.decode(ids))
-        return found
+        encode, decode = self.automaton.encode, self.automaton.decode
+        for w in set(words):
+            if w not in self._memory:
+                ids = encode(w.encode("utf-8"))
+                self._memory[w] = (",".join(map(str, ids)), decode(ids))
 
     def digest_parts(self, text: str) -> tuple[str, bytes]:
         """The ids as decimal text joined by commas, and the bytes that decoding them emits."""
-        ids: list[str] = []
-        out: list[bytes] = []
         parts = self._specials.split(text) if self._specials and any(s in text for s in self.special) else [text]
-        get, make = self._memory.get, self._word
+        found: list[tuple[str, bytes]] = []
         for part in parts:
             if part in self.special:
-                ids.append(str(self.special[part]))
-                out.append(part.encode("utf-8"))
+                found.append((str(self.special[part]), part.encode("utf-8")))
                 continue
-            for w in self._split.findall(part):
-                found = get(w)
-                if found is None:
-                    found = make(w)
-                ids.append(found[0])
-                out.append(found[1])
-        return ",".join(ids), b"".join(out)
+            words, memory = (self._latin if is_plain(part) else self._split).findall(part), self._memory
+            try:
+                found += [memory[w] for w in words]
+            except KeyError:
+                self._learn(words)
+                found += [memory[w] for w in words]
+        return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def encode(self, text: str) -> list[int]:
         joined = self.digest_parts(text)[0]

@@ -164,26 +164,45 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        weighed: dict[str, tuple[str, ...]] = {}
+        scorer = _Scorer(sent.value)
         for b in batches:
-            out = []
-            for t in b.column(1):
-                found: set[str] = set()
-                for w in set(_WORD.findall((t.as_py() or "").lower())):
-                    own = weighed.get(w)
-                    if own is None:
-                        if len(weighed) > 300_000:
-                            weighed.clear()
-                        own = weighed[w] = tuple(f for f in features_of(w) if f in m.weights)
-                    if own:
-                        found.update(own)
-                out.append(m.score_features(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+class _Scorer:
+    """A model's scores with the words' features remembered, at most 300,000 words."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def score(self, text: str | None) -> float:
+        found: set[str] = set()
+        for w in set(_WORD.findall((text or "").lower())):
+            own = self.known.get(w)
+            if own is None:
+                if len(self.known) > 300_000:
+                    self.known.clear()
+                own = self.known[w] = tuple(f for f in features_of(w) if f in self.model.weights)
+            if own:
+                found.update(own)
+        return self.model.score_features(found)
+
+
+def keep_below(documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, in their columns and without shuffle."""
+    at = documents.columns.index(text_col)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(sent.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that never teach the model: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2

@@ -13,62 +13,73 @@ sequences. Pieces get their rank within a length from salted counts, without one
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.latin import LETTERS, NUMBERS, SPACES, is_plain
 from tidemark.llm.shared import id_text, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: The split that lower-casing BPE vocabularies of this kind state in their files (fixed value).
-WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The split that lower-casing BPE vocabularies of this kind state in their files, over plain
+#: Latin texts and with words first.
+WORD_SPLIT = rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 
 
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes; the library encodes each distinct word once.
 
-    Texts of Latin letters, digits and common signs are split here and their words looked up;
-    any other text, and texts with special strings, goes to the library whole.
+    Plain Latin texts are split here and their words looked up; other texts, and texts with
+    special strings, go to the library whole. Words are remembered in two generations of about
+    ``memory`` each: when the younger is full it takes the place of the older, from which words
+    in use come back.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, memory: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads that wait for small batches burn cores
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._split = regex.compile(WORD_SPLIT)
-        self._plain = regex.compile(r"[\t-\r -~\xa0-ɏ‐-—‘-”…€]*")
+        #: The same for words that are split and normalised already.
+        self._words = Tokenizer.from_str(self.library.to_str())
+        self._words.normalizer = normalizers.Sequence([])
+        self._words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._split = re.compile(WORD_SPLIT)
         self._memory: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._most = memory
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(library, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are new to the memory go to the library in one call."""
+        split = [self._split.findall(unicodedata.normalize("NFC", t).lower()) if "<|" not in t and is_plain(t) else None for t in texts]
+        if len(self._memory) > self._most:
+            self._older, self._memory = self._memory, {}
+        memory, older = self._memory, self._older
+        missing = set().union(*(words for words in split if words is not None)).difference(memory)
+        memory.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in older]
+        memory.update(zip(new, self._ids(self._words, new), strict=True))
+        whole = iter(self._ids(self.library, [t for t, words in zip(texts, split, strict=True) if words is None]))
+        return [next(whole) if words is None else b"".join(map(memory.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not self._plain.fullmatch(text):
-            return self._library([text])[0]
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        words = self._split.findall(text.lower())
-        memory = self._memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            pass
-        if len(memory) > self._most:
-            memory.clear()
-        new = [w for w in set(words) if w not in memory]
-        memory.update(zip(new, self._library(new), strict=True))
-        return b"".join([memory[w] for w in words])
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -87,11 +98,13 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
         ids = word_ids(path)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = ids.encode(text.as_py()) + end
-                n = len(data) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    rows.append((doc, k, at, min(capacity, n - at), zlib.crc32(data[4 * at : 4 * (at + capacity)])))
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                for doc, data in zip(part.column(0).to_pylist(), ids.encode_many(part.column(1).to_pylist()), strict=True):
+                    data += end
+                    n = len(data) // 4
+                    for k, at in enumerate(range(0, n, capacity)):
+                        rows.append((doc, k, at, min(capacity, n - at), zlib.crc32(data[4 * at : 4 * (at + capacity)])))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])

@@ -51,27 +51,37 @@ def person_files(clusters: DataFrame, faces: DataFrame) -> DataFrame:
     return real.join(named.withColumnRenamed("id", "cluster_id"), "cluster_id").select("file_id", "label", F.col("id").alias("face_id"), "root", "bbox")
 
 
-def near_pairs(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
-    """(a, b, distance): pairs of 16-hex signatures at Hamming distance up to ``most``.
+def _near_signatures(kinds: DataFrame, most: int) -> DataFrame:
+    """(s1, s2): distinct signatures of ``kinds`` (sig) within reach. The 64 bits are cut into ``most`` + 1 bands; by the
+    pigeonhole principle a pair within reach agrees in one."""
+    cut = [round(64 * k / (most + 1)) for k in range(most + 2)]
+    bits = kinds.withColumn("bits", F.concat(*[F.lpad(F.conv(F.substring("sig", 1 + 8 * w, 8), 16, 2), 32, "0") for w in (0, 1)]))
+    parts = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("bits", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(most + 1)])
+    banded = bits.select("sig", F.explode(parts).alias("band"))
+    x, y = banded.select(F.col("sig").alias("s1"), "band"), banded.select(F.col("sig").alias("s2"), "band")
+    return x.join(y, "band").where("s1 < s2").where(hamming(F.col("s1"), F.col("s2")) <= most).select("s1", "s2").distinct()
 
-    The 64 bits are cut into ``most`` + 1 bands; by the pigeonhole principle a pair within reach
-    agrees in one. Equal signatures are one vertex in the search, so copies are not paired in bands.
-    """
-    bands = most + 1
-    cut = [round(64 * k / bands) for k in range(bands + 1)]
+
+def near_pairs(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
+    """(a, b, distance): all pairs of 16-hex signatures at Hamming distance up to ``most``, a < b."""
     keyed = df.where(F.length(signature) == 16).select(F.col(id_col).alias("id"), F.col(signature).alias("sig"))
-    kinds = keyed.select("sig").distinct().withColumn("bits", F.concat(*[F.lpad(F.conv(F.substring("sig", 1 + 8 * w, 8), 16, 2), 32, "0") for w in (0, 1)]))
-    parts = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("bits", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(bands)])
-    banded = kinds.select("sig", F.explode(parts).alias("band"))
-    x, y = banded.select(F.col("sig").alias("s1"), "band"), banded.select(F.col("sig").alias("s2"), "band")
-    near = x.join(y, "band").where("s1 < s2").where(hamming(F.col("s1"), F.col("s2")) <= most).select("s1", "s2").distinct()
-    same = kinds.select(F.col("sig").alias("s1"), F.col("sig").alias("s2"))
-    both = near.union(same)
+    kinds = keyed.select("sig").distinct()
+    both = _near_signatures(kinds, most).union(kinds.select(F.col("sig").alias("s1"), F.col("sig").alias("s2")))
     a, b = keyed.select(F.col("id").alias("i"), F.col("sig").alias("s1")), keyed.select(F.col("id").alias("j"), F.col("sig").alias("s2"))
     pairs = both.join(a, "s1").join(b, "s2").where("s1 <> s2 OR i < j")
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("s1"), F.col("s2")).alias("distance"))
 
 
+def near_edges(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
+    """(a, b): edges with the components of :func:`near_pairs`, without the pairs among equal signatures: each row
+    hangs on its signature's first row, and first rows on each other."""
+    keyed = df.where(F.length(signature) == 16).select(F.col(id_col).alias("id"), F.col(signature).alias("sig"))
+    heads = keyed.groupBy("sig").agg(F.min("id").alias("head"))
+    x, y = heads.select(F.col("sig").alias("s1"), F.col("head").alias("a")), heads.select(F.col("sig").alias("s2"), F.col("head").alias("b"))
+    between = _near_signatures(heads.select("sig"), most).join(x, "s1").join(y, "s2").select("a", "b")
+    return between.union(keyed.join(heads, "sig").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): least reachable id, by least neighbours and pointer jumping until nothing changes."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
@@ -89,7 +99,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def near_groups(df: DataFrame, id_col: str, signature: str, path: str, size: str, most: int) -> DataFrame:
     """(group_no, place, id): groups of at least two, numbered by first path from 1; within one the largest first, then path."""
-    comp = connected(near_pairs(df, id_col, signature, most))
+    comp = connected(near_edges(df, id_col, signature, most))
     rows = df.select(F.col(id_col).alias("id"), F.col(path).alias("_path"), F.col(size).alias("_size")).join(comp, "id")
     w = Window.partitionBy("component")
     rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("_size"), "_path"))).withColumn("_first", F.min(F.struct("_path", "id")).over(w))

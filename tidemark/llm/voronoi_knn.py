@@ -37,6 +37,8 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows as doubles, padded with zeros to ``width``; integers below 2^53 stay exact."""
+    if not width:
+        return np.zeros((len(column), 0))
     flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
     lengths = np.diff(np.concatenate([[0], ends]))
     if (lengths == width).all():
@@ -84,7 +86,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 32, bl
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _matrix(b.column(1), max(width, 1)) if b.num_rows else np.zeros((0, width))
+            q = _matrix(b.column(1), width)
             mid, reach = q @ centre.T, np.sqrt((q * q).sum(1))[:, None] * radius[None, :]
             slack = _SLACK * (np.abs(mid) + reach) + 1e-3
             low, high = mid - reach - slack, mid + reach + slack
@@ -106,7 +108,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 32, bl
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for g, n in of.items() for x in (g, n)]), F.col("g"))
     left = grouped.select("g", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), n_blocks).cast("int").alias("blk"), "vec_id", "v")
     asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    right = asked.select("query_id", F.slice("q", 1, max(width, 1)).alias("q")).mapInArrow(windows, "query_id long, q array<long>, g int, blk int")
+    right = asked.select("query_id", F.slice("q", 1, width).alias("q")).mapInArrow(windows, "query_id long, q array<long>, g int, blk int")
 
     def solve(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})

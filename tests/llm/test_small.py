@@ -84,8 +84,11 @@ def test_jaccard_join_keeps_links_of_common_shingles(spark):
     assert [got[i] for i in range(140)] == [0] * 80 + [80] * 60
 
 
-def test_suffix_dedup_is_exact(spark):
+@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
+def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
     texts = corpus(9)
+    plain = suffix_dedup.removable
+    monkeypatch.setattr(suffix_dedup, "removable", lambda d: plain(d, hot))
     seen, want = set(), []
     for t in texts:
         b = (t or "").encode()
@@ -102,6 +105,13 @@ def test_suffix_dedup_is_exact(spark):
     assert suffix_dedup.apply_cuts(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    rows = [(1, "ab" * 90 + "c" * 80), (1, "ab" * 90 + "c" * 80), (2, "ab" * 90 + "c" * 80), (None, "ab" * 90), (3, "x"), (3, "y" * 300)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.apply_cuts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [n for i, n in got if i == 1]
+    assert one[0] == one[1] < 260 and (2, 260) in got and (0, 0) in got and len(got) == 6
+
+
 def test_suffix_array_orders_and_groups():
     rng = random.Random(1)
     for _ in range(80):
@@ -255,6 +265,8 @@ def test_knn_is_exact(spark):
         best = sorted((-int(ints[q] @ x), i) for i, x in ints.items() if i != q)[:7]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert voronoi_knn.top_k(df.limit(0), df.limit(0)).count() == 0
+    empty = df.where("vec_id = 903")
+    assert voronoi_knn.top_k(empty.union(empty.selectExpr("1L AS vec_id", "v")), empty).count() == 1
 
 
 def test_warc_round_trip(spark):

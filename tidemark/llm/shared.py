@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +30,45 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    path = shared_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs; to be called between large steps.
+
+    It does so when the driver collects its garbage, which a driver with little to do puts off for
+    long. Frames in use keep theirs, and a job's plan is held until its last events are handled:
+    hence between statements, after a moment, and twice.
+    """
+    for _ in range(2):
+        time.sleep(0.8)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+_worker: dict = {"operator": None, "forget": []}
+
+
+def forget_with(clear: Callable[[], None]) -> None:
+    """Have ``clear`` called in a Python worker that turns to another operator."""
+    _worker["forget"].append(clear)
+
+
+def enter(operator: str) -> None:
+    """To be called as a task of ``operator`` begins: what other operators left in this worker goes back to the system.
+
+    Workers outlive tasks, and a pipeline's stages would otherwise add up their memories.
+    """
+    if _worker["operator"] not in (None, operator):
+        for clear in _worker["forget"]:
+            clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _worker["operator"] = operator
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:

@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import id_text
+from tidemark.llm.shared import enter, free_shuffles, id_text, materialize
 
 LENGTH, GRAM = 100, 24
+#: Anchors with more occurrences are split by windows.
+HOT = 20_000
 _CHUNK, _POS = 1 << 19, 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,6 +219,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """(v, doc_id, run): every anchor run, ``run`` = first window * 128 + number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffixes")
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
@@ -230,9 +233,14 @@ _SPANS = "doc_id long, first long, n long"
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
-    """The contexts behind repeated anchors; one that its task has seen before travels without its bytes (n < 0)."""
+    """The contexts behind repeated anchors; one that its task has seen before travels without its bytes (n < 0).
+
+    Contexts of a hot anchor travel window by window, each by its own hash, so that no anchor gathers
+    more than its equal windows, of which one is held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffixes")
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         for b in batches:
             for k in range(0, b.num_rows, 256):
@@ -243,15 +251,23 @@ def _contexts(joined: DataFrame) -> DataFrame:
                     for r in sorted(runs.as_py(), key=lambda r: r["run"]):
                         v, first, n = r["v"], r["run"] // 128, r["run"] % 128
                         context = data[first : first + n + LENGTH - 1]
+                        n = len(context) - LENGTH + 1
+                        if n < 1:  # another row of this id has a longer text
+                            continue
                         key = (v, xxhash.xxh3_64_intdigest(context))
                         before = seen.get(key)
                         if before is not None and before < (doc, first):
                             rows.append((xxhash.xxh3_64_intdigest(first.to_bytes(8, "little"), doc & 0xFFFF) - (1 << 63), doc, first, -n, None))
                             continue
-                        if len(seen) > 500_000:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen[key] = (doc, first)
-                        rows.append((v, doc, first, n, context))
+                        if r["hot"]:
+                            for i in range(n):
+                                w = context[i : i + LENGTH]
+                                rows.append((xxhash.xxh3_64_intdigest(w) - (1 << 63), doc, first + i, 1, w))
+                        else:
+                            rows.append((v, doc, first, n, context))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["v", "doc_id", "first", "n", "context"])
@@ -302,8 +318,10 @@ def _resolve(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterato
                 if held > block:
                     settle()
             c = context.as_py()
-            if c in group:
-                out.append((doc, first, n))
+            same = group.get(c)
+            if same is not None:
+                if same[:2] != (doc, first):  # else a repeated row: not earlier than itself
+                    out.append((doc, first, n))
             else:
                 group[c] = (doc, first, n)
         yield flush()
@@ -312,14 +330,18 @@ def _resolve(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterato
     yield flush()
 
 
-def removable(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): per document the runs (first window, windows) that also start earlier. ``docs`` is (doc_id, text)."""
+def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, runs): per document the runs (first window, windows) that also start earlier. ``docs`` is (doc_id, text).
+
+    The repeated anchors and the result are written, so that one step's shuffle is gone before the next.
+    """
     every = anchors(docs)
-    often = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    repeated = every.join(often, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "run")).alias("runs"))
+    often = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", (F.col("c") > hot).alias("hot"))
+    repeated = materialize(every.join(often, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "run", "hot")).alias("runs")), "anchors")
+    free_shuffles(docs.sparkSession)
     contexts = _contexts(docs.join(repeated, "doc_id").select("doc_id", "text", "runs"))
     spans = contexts.repartition("v").sortWithinPartitions("v", "doc_id", "first").mapInArrow(_resolve, _SPANS)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    return materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
 
 
 def cut(data: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int]:
@@ -340,11 +362,13 @@ def cut(data: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple
 def apply_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every document.
 
-    Null text is empty. Ids order the texts, so they must be unique and not null: the first check
-    of a repeated id would be against itself. Rows without id are passed over and keep all bytes.
+    Null text is empty. Ids order the texts. Rows that repeat count as one document and are cut
+    alike; different texts of one id are cut at the union of their places. Rows without id keep
+    all bytes, and no other text is compared with them.
     """
     docs = id_text(documents, id_col, text_col)
     runs = removable(docs.where(F.col("doc_id").isNotNull()))
+    free_shuffles(docs.sparkSession)
     joined = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,4 +397,4 @@ def dedup_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     cuts = kept.select("doc_id", "kept").mapInArrow(run, "_id long, _kept string")
     out = documents.join(cuts, documents[id_col].cast("long") == cuts["_id"], "left")
-    return out.select(*[F.coalesce(F.col("_kept"), documents[c]).alias(c) if c == text_col else documents[c] for c in documents.columns])
+    return out.select(*[F.coalesce(cuts["_kept"], documents[c]).alias(c) if c == text_col else documents[c] for c in documents.columns])

@@ -2,51 +2,55 @@
 
 A line's shingles are the ``SHINGLE`` characters from the start of each of its words (blanks
 within included). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
-the least hash of each bin is the signature (one-permutation MinHash). Each pair of neighbouring
-minima, around the circle, is a band. Lines that share a band are compared with the band's
-smallest line; those that do not match it go on to the next round, with four times as many lines
-to compare with, until no band has two lines left. A pair counts as a link only if the exact Jaccard index of the shingle
-sets is at least ``threshold``. Union-find then joins the links and one line per component stays:
-the first, by (doc_id, line number).
-
-Equal lines are one vertex: its id is the 64-bit hash of the line. Recall at an index of 0.75 is
-98.8 %, at 0.85 99.9 % (no two neighbouring bins agree otherwise).
+the least hash of each bin is the signature (one-permutation MinHash). Two neighbouring minima,
+around the circle, are a band. The lines of a band are compared with its smallest line; what
+does not match it is compared pair by pair where at most ``FEW`` lines are left, and where there
+are more, the band is split by further minima (three have to agree, then five, then all), so
+that lines which only share a passage part ways and no band pairs all its lines. A pair counts
+as a link only if the exact Jaccard index of the shingle sets is at least ``threshold``.
+Union-find joins the links and one line per component stays: the first by (doc_id, line number).
+
+Equal lines are one vertex: its id is the 64-bit hash of the line. Recall of bands of two at an
+index of 0.75 is 98.8 %, at 0.85 99.9 %.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import free_shuffles, materialize
 
-SHINGLE, BINS = 12, 8
+SHINGLE, BINS, FEW = 12, 8, 16
+#: Minima that have to agree in a band, then in what is left of a crowded one, and so on.
+LEVELS = (2, 3, 5, 8)
 
 
 def line_key(line: Column) -> Column:
     """What makes lines equal: their text without blanks at either end; empty ones get null and stay."""
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
+    trimmed = F.btrim(line, F.lit(" \t\r\f\v"))
     return F.when(trimmed != "", trimmed)
 
 
 def shingles(line: Column) -> Column:
     """The distinct hashes of the windows of SHINGLE characters at word starts (shorter at the line's end)."""
-    windows = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    windows = F.regexp_extract_all(line, F.lit(rf"(?=(\S.{{0,{SHINGLE - 1}}}))\S+"), F.lit(1))
     return F.array_distinct(F.transform(windows, lambda s: F.xxhash64(s)))
 
 
-def with_bands(rows: DataFrame, line: str = "line") -> DataFrame:
-    """``rows`` plus ``bands``: hashes of neighbouring bin minima.
+def with_minima(rows: DataFrame, line: str = "line") -> DataFrame:
+    """``rows`` plus ``minima``: the least hash of each bin that has one, in order of the bins.
 
-    Each step is a column of its own: what a lambda reaches for must be computed already, or it
-    would be computed anew for every element.
+    The sorted hashes are a column of their own: what a lambda reaches for must be computed
+    already, or it would be computed anew for every element.
     """
     ordered = rows.withColumn("_ordered", F.sort_array(shingles(F.col(line))))
     before = lambda i: F.get(F.col("_ordered"), i - 1)
-    minima = ordered.withColumn("_minima", F.filter("_ordered", lambda h, i: (i == 0) | (F.shiftright(h, 61) != F.shiftright(before(i), 61))))
-    after = F.concat(F.slice("_minima", 2, BINS), F.slice("_minima", 1, 1))
-    return minima.withColumn("bands", F.array_distinct(F.zip_with("_minima", after, lambda a, b: F.xxhash64(a, b)))).drop("_ordered", "_minima")
+    first = lambda h, i: (i == 0) | (F.shiftright(h, 61) != F.shiftright(before(i), 61))
+    return ordered.withColumn("minima", F.filter("_ordered", first)).drop("_ordered")
 
 
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,40 +59,55 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return split.select("doc_id", "line_no", line_key(F.col("raw")).alias("line")).where(F.col("line").isNotNull()).withColumn("node", F.xxhash64("line"))
 
 
-def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together."""
-    # Written, as it is read twice, and as a filter pushed below it would compute the bands per element.
-    once = materialize(with_bands(rows).groupBy("node", "bands").agg(F.min("doc_id").alias("doc_id")), "line-signatures")
-    by_band = once.select("node", "doc_id", F.explode("bands").alias("band"))
-    ends = by_band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    members = materialize(by_band.join(ends, "band"), "line-bands")
+def _key(level: int) -> Column:
+    """The band at place ``pos``: ``level`` minima from there, around the circle."""
+    n = F.size("minima")
+    turned = F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(level)))
+    return F.xxhash64(turned)
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    a, b = sets.select(F.col("node"), F.col("s").alias("s1")), sets.select(F.col("node").alias("centre"), F.col("s").alias("s2"))
+    both = F.size(F.array_intersect("s1", "s2"))
+    return pairs.join(a, "node").join(b, "centre").where(both >= threshold * (F.size("s1") + F.size("s2") - both)).select("node", "centre")
+
+
+def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together.
+
+    ``signed``: (node, doc_id, minima) of ``rows``, written, as a filter pushed below it would
+    compute the minima once per element.
+    """
+    once = materialize(signed.groupBy("node", "minima").agg(F.min("doc_id").alias("doc_id")), "line-vertices")
+    places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
+    banded = places.select("node", "pos", _key(LEVELS[0]).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    member = materialize(banded.join(shared.hint("shuffle_hash"), "band").groupBy("band", "node").agg(F.min("pos").alias("pos")), "line-bands")
 
+    free_shuffles(rows.sparkSession)
     # The shingle sets of lines in such bands, from one document that holds the line.
-    wanted = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(wanted, ["node", "doc_id"], "left_semi").select("node", "line").dropDuplicates(["node"])
+    wanted = once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
+    texts = rows.join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi").select("node", "line").dropDuplicates(["node"])
     sets = materialize(texts.select("node", shingles(F.col("line")).alias("s")), "line-sets")
 
-    found, bucket, centres = None, members.select("band", "node"), 1
-    place = Window.partitionBy("band").orderBy("node")
-    while True:
-        if centres == 1:
-            star = bucket.groupBy("band").agg(F.min("node").alias("centre"))
-        else:
-            star = bucket.withColumn("k", F.row_number().over(place)).where(F.col("k") <= centres).select("band", F.col("node").alias("centre"))
+    free_shuffles(rows.sparkSession)
+    found: list[DataFrame] = []
+    bucket, sized = member, lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy("band")))
+    for deeper_level in (*LEVELS[1:], None):
+        star = bucket.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).where("centre < hi").select("band", "centre")
         spokes = materialize(bucket.join(star, "band").where("node > centre"), "line-spokes")
-        if spokes.isEmpty():
+        good = materialize(_matching(spokes.select("node", "centre").distinct(), sets, threshold), "line-links")
+        found.append(good)
+        rest = materialize(sized(spokes.join(good, ["node", "centre"], "left_anti").select("band", "node", "pos")).where("_n > 1"), "line-rest")
+        few = rest if deeper_level is None else rest.where(F.col("_n") <= FEW)
+        a, b = few.select("band", "node"), few.select("band", F.col("node").alias("centre"))
+        found.append(materialize(_matching(a.join(b, "band").where("node > centre").select("node", "centre").distinct(), sets, threshold), "line-links"))
+        many = rest.where(F.col("_n") > FEW)
+        if deeper_level is None or many.isEmpty():
             break
-        a, b = sets.select(F.col("node"), F.col("s").alias("s1")), sets.select(F.col("node").alias("centre"), F.col("s").alias("s2"))
-        pairs = spokes.select("node", "centre").distinct().join(a, "node").join(b, "centre")
-        both = F.size(F.array_intersect("s1", "s2"))
-        good = materialize(pairs.where(both >= threshold * (F.size("s1") + F.size("s2") - both)).select("node", "centre"), "line-links")
-        found = good if found is None else found.union(good)
-        done = star.select("band", F.col("centre").alias("node")).union(spokes.join(good, ["node", "centre"], "left_semi").select("band", "node")).distinct()
-        bucket = materialize(bucket.join(done, ["band", "node"], "left_anti"), "line-rest")
-        centres *= 4
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "u long, v long")
-    return found.select(F.col("node").alias("u"), F.col("centre").alias("v"))
+        deeper = many.join(once.select("node", "minima"), "node").select(F.xxhash64("band", _key(deeper_level)).alias("band"), "node", "pos")
+        bucket = materialize(sized(deeper).where("_n > 1").drop("_n"), "line-deeper")
+    return reduce(DataFrame.union, found).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,8 +117,10 @@ def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "
     lines at one place the tie goes either way, as they have one number. Rows without id sort first.
     """
     rows = lines(documents, id_col, text_col)
-    comp = components(links(rows, threshold), label="line-components")
-    slim = rows.select("doc_id", "line_no", "node")
+    signed = materialize(with_minima(rows).drop("line"), "line-signatures")
+    comp = components(links(rows, signed, threshold), label="line-components")
+    free_shuffles(documents.sparkSession)
+    slim = signed.select("doc_id", "line_no", "node")
     first = slim.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
     joined = first.join(comp, first["node"] == comp["id"], "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
     keepers = joined.groupBy("c").agg(F.min("at").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
@@ -115,7 +136,7 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "do
     A text of which no line is redundant stays as it is, null stays null; where all lines go, the text is empty.
     """
     gone = removed_lines(documents, threshold, id_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    text = F.col(text_col)
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    text, numbers = documents[text_col], gone["_gone"]
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
     out = documents.join(gone, documents[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
-    return out.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else documents[c] for c in documents.columns])
+    return out.select(*[F.when(numbers.isNull(), text).otherwise(kept).alias(c) if c == text_col else documents[c] for c in documents.columns])

@@ -10,8 +10,8 @@ than n - ceil(t n) of a document's shingles can be missing in a partner. So the
 the region of a shingle among the first n - ceil(t n) + 1 of both, and boundary documents are
 copied into exactly those regions (their window).
 
-Regions join recursively. Sets that are equal are one vertex from the start. In each region all
-members are compared with one pivot document; the links merge components, and a region whose
+Regions join recursively. Sets that are equal are one vertex from the start. Regions of at most
+FEW members are joined pair by pair. In each larger one all members are compared with one pivot document; the links merge components, and a region whose
 members are in one component is done. What is left goes to the next round with another pivot
 document; the last round compares every member outside a region's largest component with all members of other
 components. A link inside a component would change nothing, so components are exact and no
@@ -30,46 +30,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import id_text, materialize
+from tidemark.llm.shared import drop_table, enter, free_shuffles, id_text, materialize
 
 WORDS = 5
+#: Regions of so many members are joined pair by pair.
+FEW = 6
 #: Shingles that a task meets in this many different texts are reported as common, and at most
 #: so many of all tasks' reports are sent back (the order only has to be the same everywhere).
-COMMON_IN_TASK, MOST_COMMON = 12, 1 << 16
+COMMON_IN_TASK, MOST_COMMON = 3, 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
+class _WordHashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Sets of 64-bit shingle hashes; word hashes are remembered, at most ``memory`` of them."""
+    """Sets of 64-bit shingle hashes; word hashes are remembered, about ``memory`` of them."""
 
-    def __init__(self, words: int = WORDS, memory: int = 500_000):
-        self.words, self._memory, self._most = words, {}, memory
+    def __init__(self, words: int = WORDS, memory: int = 150_000):
+        self.words, self._memory, self._most = words, _WordHashes(), memory
 
     def set_of(self, text: str) -> np.ndarray:
         """The sorted distinct shingle hashes; shorter texts are one shingle, texts without words none."""
         words = text.encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, np.uint64)
-        memory = self._memory
-        found = list(map(memory.get, words))
-        if None in found:
-            if len(memory) > self._most:
-                memory.clear()
-            hashed = xxhash.xxh3_64_intdigest
-            for i, h in enumerate(found):
-                if h is None:
-                    found[i] = memory[words[i]] = hashed(words[i])
-        h = np.array(found, np.uint64)
+        if len(self._memory) > self._most:
+            self._memory.clear()
+        h = np.fromiter(map(self._memory.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(h))
         n = len(h) - k + 1
-        s = np.full(n, k, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                s = (s ^ h[j : j + n]) * _MIX[j % 5]
-                s ^= s >> np.uint64(29)
-            s *= np.uint64(0xBF58476D1CE4E5B9)
-            s ^= s >> np.uint64(32)
-        return np.unique(s)
+        s = h[:n] * _MIX[0]
+        for j in range(1, k):
+            s += h[j : j + n] * _MIX[j]
+        s ^= s >> np.uint64(32)
+        s *= np.uint64(0xBF58476D1CE4E5B9)
+        s ^= s >> np.uint64(29)
+        s += np.uint64(k)
+        s.sort()
+        return s if n == 1 else s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -85,6 +89,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """At most MOST_COMMON shingles that some task met in COMMON_IN_TASK different sets, the most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         shingler, seen, waiting, held = Shingler(words), set(), [], 0
         tally: Counter = Counter()
 
@@ -100,7 +105,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 s = shingler.set_of(t.as_py())
                 node = node_of(s)
                 if len(s) and node not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(node)
                     waiting.append(s)
                     held += len(s)
@@ -111,75 +116,86 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(tally), np.uint64))), pa.array(list(tally.values()), pa.int64())], ["s", "n"])
 
     counts = docs.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MOST_COMMON)
-    return np.array([r.s for r in counts.collect()], np.int64).view(np.uint64)
+    return counts.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)  # at most MOST_COMMON
 
 
-def memberships(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (75, 100), words: int = WORDS) -> DataFrame:
-    """(s, node, size, place): each set in the regions of its window; ``place`` counts from 0."""
+def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (75, 100), words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, node, window): each text's vertex and, for a task's first text of a vertex, its
+    regions' shingles in order. Texts without words have node null."""
     num, den = threshold
-    spark = docs.sparkSession
     order = np.argsort(common)
-    sent = spark.sparkContext.broadcast((common[order], (len(common) - order).astype(np.int64)))  # at most MOST_COMMON
+    sent = docs.sparkSession.sparkContext.broadcast((common[order], (len(common) - order).astype(np.int64)))  # at most MOST_COMMON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         known, rank = sent.value
         shingler, seen = Shingler(words), set()
-
-        def table(parts: list) -> pa.RecordBatch:
-            s, node, size, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            return pa.RecordBatch.from_arrays([pa.array(_signed(s)), pa.array(node), pa.array(size), pa.array(place)], ["s", "node", "size", "place"])
-
         for b in batches:
-            parts, held = [], 0
-            for t in b.column(1):
-                s = shingler.set_of(t.as_py())
-                n = len(s)
-                if not n:
-                    continue
-                node = node_of(s)
-                if node in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
-                p = n - -(-num * n // den) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    heavy = np.where(known[at] == s, rank[at], 0)
-                    s = s[np.lexsort((s, heavy))] if heavy.any() else s
-                parts.append((s[:p], np.full(p, node, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
-                held += p
-                if held > 100_000:
-                    yield table(parts)
-                    parts, held = [], 0
-            if parts:
-                yield table(parts)
-
-    return docs.mapInArrow(run, "s long, node long, size int, place int")
-
-
-def nodes(docs: DataFrame, words: int = WORDS, sets: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, node[, s]): the vertex of every text; texts without words have node null."""
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                size, node, window, ends = [], [], [], [0]
+                for t in part.column(1):
+                    s = shingler.set_of(t.as_py())
+                    n = len(s)
+                    size.append(n)
+                    node.append(node_of(s) if n else None)
+                    if n and node[-1] not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(node[-1])
+                        p = n - -(-num * n // den) + 1
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                            heavy = np.where(known[at] == s, rank[at], 0)
+                            s = s[np.lexsort((s, heavy))] if heavy.any() else s
+                        window.append(s[:p])
+                        ends.append(ends[-1] + p)
+                    else:
+                        ends.append(ends[-1])
+                flat = _signed(np.concatenate(window)) if window else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n_shingles", "node", "window"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, s) of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                found = [shingler.set_of(t.as_py()) for t in part.column(1)]
-                cols = [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([node_of(s) if len(s) else None for s in found], pa.int64())]
-                if sets:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(found) if found else np.zeros(0, np.uint64)))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "s"][: len(cols)])
+                found = [s for s in (shingler.set_of(t.as_py()) for t in b.slice(k, 512).column(1)) if len(s)]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                flat = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long" + ", s array<long>" * sets)
+    return docs.mapInArrow(run, "node long, s array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    a = sets.select(F.col("node").alias("u"), F.col("s").alias("s1"))
-    b = sets.select(F.col("node").alias("v"), F.col("s").alias("s2"))
+def _possible(pairs: DataFrame, window: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that can still be links by their windows alone.
+
+    Of two windows one ends first in the order; its shingles can only be met in the other window,
+    so the overlap is at most the windows' overlap and what lies behind that window.
+    """
+    side = lambda name, k: window.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{k}"), F.col("window").alias(f"w{k}"))
+    most = F.size(F.array_intersect("w1", "w2")) + F.greatest(F.col("n1") - F.size("w1"), F.col("n2") - F.size("w2"))
+    return pairs.join(side("u", 1), "u").join(side("v", 2), "v").where((den + num) * most >= num * (F.col("n1") + F.col("n2"))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, window: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """The links among ``pairs``; full sets are only made for texts in pairs that their windows leave possible."""
+    left = materialize(_possible(pairs, window, num, den), "jaccard-possible")
+    free_shuffles(docs.sparkSession)
+    wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
+    texts = docs.join(first.join(wanted, "node").select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialize(shingle_sets(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("s1")), sets.select(F.col("node").alias("v"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))
-    return pairs.join(a, "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v")
+    good = materialize(left.join(a, "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v"), "jaccard-links")
+    drop_table(docs.sparkSession, sets)
+    return good
 
 
 def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = WORDS, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,23 +209,35 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
     num, den = threshold
     docs = id_text(documents, id_col, text_col)
     common = common_shingles(docs, words)
-    every = memberships(docs, common, threshold, words)
-    regions = every.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = regions.where("lo < hi").select("s")
-    member = materialize(every.join(shared, "s").distinct(), "jaccard-members")
+    vertex = materialize(windows(docs, common, threshold, words), "jaccard-vertices")
+    every = vertex.select("node", (F.col("n_shingles") * (1 << 32)).alias("size"), F.posexplode("window").alias("place", "s"))
+    every = every.select("s", "node", (F.col("size") + F.col("place")).alias("where"))  # packed, as every row is shuffled
+    shared = every.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    member = every.join(shared, "s").distinct()
+    member = materialize(member.select("s", "node", F.shiftright("where", 32).cast("int").alias("size"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")), "jaccard-members")
 
-    wanted = member.select("node").distinct()
-    vertex = materialize(nodes(docs, words), "jaccard-nodes")
-    first = vertex.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialize(nodes(texts, words, sets=True).select("node", "s").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    free_shuffles(docs.sparkSession)
 
     near = (den + num) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= num * (F.col("size") + F.col("csize"))
-    found, comp = None, None
-    left = member
+    ends = [F.least("node", "cnode").alias("u"), F.greatest("node", "cnode").alias("v")]
+    sizes = member.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    small = member.join(sizes.where(F.col("n") <= FEW).select("s"), "s")
+    other = small.select("s", F.col("node").alias("cnode"), F.col("size").alias("csize"), F.col("place").alias("cplace"))
+    few = materialize(small.join(other, "s").where("node < cnode").where(near).select(*ends).distinct(), "jaccard-few")
+    left = materialize(member.join(sizes.where(F.col("n") > FEW).select("s"), "s"), "jaccard-large")
+
+    wanted = few.select(F.col("u").alias("node")).union(few.select("v")).union(left.select("node")).distinct()
+    full = vertex.where(F.size("window") > 0).select("node", "n_shingles", "window").join(wanted, "node", "left_semi")
+    window = materialize(full.dropDuplicates(["node"]), "jaccard-windows")
+    vertex = materialize(vertex.select("doc_id", "n_shingles", "node"), "jaccard-nodes")
+    first = vertex.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    found, comp, more = None, None, few
     for r in range(rounds + 1):
-        named = left if comp is None else left.join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
-        named = named.withColumn("c", F.coalesce("component", "node") if comp is not None else F.col("node"))
+        free_shuffles(docs.sparkSession)
+        named = left.withColumn("c", F.col("node"))
+        if comp is not None:
+            named = left.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         open_ = named.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
         named = materialize(named.select("s", "node", "size", "place", "c").join(open_, "s"), "jaccard-open")
         if r < rounds:
@@ -217,11 +245,13 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
             pivot = named.groupBy("s").agg(F.min(F.struct(key.alias("k"), "node", "size", "place", "c")).alias("p"))
             pivot = pivot.select("s", F.col("p.node").alias("cnode"), F.col("p.size").alias("csize"), F.col("p.place").alias("cplace"), F.col("p.c").alias("cc"))
         else:
-            sizes = named.groupBy("s", "c").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
+            counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
+            largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
             pivot = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("cnode"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))
-        pairs = named.join(pivot, "s").where("c <> cc").where(near).select(F.least("node", "cnode").alias("u"), F.greatest("node", "cnode").alias("v")).distinct()
-        good = materialize(_verified(pairs, sets, num, den), "jaccard-links")
+        pairs = named.join(pivot, "s").where("c <> cc").where(near).select(*ends)
+        pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "jaccard-pairs")
+        more = None
+        good = _verified(pairs, window, first, docs, num, den, words)
         found = good if found is None else found.union(good)
         comp = components(found, label="jaccard-components")
         left = named.drop("c")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.latin import LETTERS, NUMBERS, SPACES, is_plain
-from tidemark.llm.shared import id_text, materialize
+from tidemark.llm.shared import enter, forget_with, id_text, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The split that lower-casing BPE vocabularies of this kind state in their files, over plain
@@ -87,6 +87,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+forget_with(word_ids.cache_clear)
+
+
 def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every text's ids, closed by ``end_id``, into pieces of ``capacity``; the last may be shorter.
 
@@ -95,6 +98,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         ids = word_ids(path)
         for b in batches:
             rows: list[tuple] = []

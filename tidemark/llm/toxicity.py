@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import enter, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -124,6 +124,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_fe
     sample = materialize(texts.join(F.broadcast(chosen), "id").select("id", "y", "text"), "toxicity-sample")  # broadcast: at most sample_rows rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t.as_py())) for t in b.column(1)], pa.list_(pa.string()))], ["y", "f"])
 
@@ -146,6 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_fe
     sent = spark.sparkContext.broadcast(index)  # at most max_features and the identity terms
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         known = sent.value
         for b in batches:
             found = [t.as_py() for t in b.column(2)]
@@ -164,6 +166,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         scorer = _Scorer(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
@@ -172,7 +175,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 class _Scorer:
-    """A model's scores with the words' features remembered, at most 300,000 words."""
+    """A model's scores with the words' features remembered, at most 150,000 words."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -182,7 +185,7 @@ class _Scorer:
         for w in set(_WORD.findall((text or "").lower())):
             own = self.known.get(w)
             if own is None:
-                if len(self.known) > 300_000:
+                if len(self.known) > 150_000:
                     self.known.clear()
                 own = self.known[w] = tuple(f for f in features_of(w) if f in self.model.weights)
             if own:
@@ -196,6 +199,7 @@ def keep_below(documents: DataFrame, model: Model, threshold: float = 0.3, text_
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         scorer = _Scorer(sent.value)
         for b in batches:
             yield b.filter(pa.array([scorer.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))

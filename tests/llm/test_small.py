@@ -139,6 +139,37 @@ def test_line_dedup_recall(spark):
     assert len(gone) >= 57 and all(r.doc_id == r.keeper_doc + 60 for r in gone)
 
 
+def windows12(line):
+    return {line[i : i + 12] for i in range(len(line))}
+
+
+def brute_removed(texts):
+    """(doc_id, line_no) -> keeper, comparing all pairs of lines by all windows of 12 characters."""
+    at = [(i, k, raw.strip(" \t\r\f\v")) for i, t in enumerate(texts) for k, raw in enumerate((t or "").split("\n"))]
+    at = [x for x in at if x[2]]
+    sets = [windows12(x[2]) for x in at]
+    near = [(i, j) for i in range(len(at)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    return {at[i][:2]: at[c][:2] for i, c in enumerate(brute_components(len(at), near)) if c != i}
+
+
+def removed_by_spark(spark, texts):
+    return {(r.doc_id, r.line_no): (r.keeper_doc, r.keeper_line) for r in line_dedup.removed_lines(docs(spark, texts)).collect()}
+
+
+def test_line_dedup_looks_at_every_character(spark):
+    rng = random.Random(4)
+    han = "".join(rng.choices([chr(c) for c in range(0x4E00, 0x5E00)], k=90))
+    texts = [
+        "https://www.example.org/a/report.pdf\nhttps://www.other.net/index.html",
+        "transaction-000001\ntransaction-999999\nx\ny\nx",
+        han + "\n" + han[:12] + "".join(reversed(han[12:])) + "\n" + "前" + han[1:],
+        "😀" * 30 + "ab\n" + "😀" * 30 + "cd\r\u2028" + "z" * 40,
+        "a" * 300 + "\n" + "a" * 200 + "\n" + "b" * 4,
+    ]
+    got = removed_by_spark(spark, texts)
+    assert got == brute_removed(texts) == {(1, 4): (1, 2), (2, 2): (2, 0), (4, 1): (4, 0)}
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

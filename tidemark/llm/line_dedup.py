@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's shingles are the ``SHINGLE`` characters from the start of each of its words (blanks
-within included). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
+A line's shingles are its windows of ``SHINGLE`` characters, one from every character on (shorter
+at the line's end). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
 the least hash of each bin is the signature (one-permutation MinHash). Two neighbouring minima,
 around the circle, are a band. The lines of a band are compared with its smallest line; what
 does not match it is compared pair by pair where at most ``FEW`` lines are left, and where there
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import free_shuffles, materialize
+from tidemark.llm.shared import drop_table, free_shuffles, materialize
 
 SHINGLE, BINS, FEW = 12, 8, 16
 #: Minima that have to agree in a band, then in what is left of a crowded one, and so on.
@@ -35,22 +35,29 @@ def line_key(line: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
-def shingles(line: Column) -> Column:
-    """The distinct hashes of the windows of SHINGLE characters at word starts (shorter at the line's end)."""
-    windows = F.regexp_extract_all(line, F.lit(rf"(?=(\S.{{0,{SHINGLE - 1}}}))\S+"), F.lit(1))
-    return F.array_distinct(F.transform(windows, lambda s: F.xxhash64(s)))
+def coded(line: Column) -> Column:
+    """The characters at four bytes each, so that a window is a slice of known place."""
+    return F.encode(line, "UTF-32")
+
+
+def windows(code: Column) -> Column:
+    """The hash of the window of SHINGLE characters from every character on (shorter at the line's end).
+
+    ``code`` must be a column that is computed already, or it would be computed anew for every window.
+    """
+    starts = F.sequence(F.lit(1), F.length(code), F.lit(4))
+    return F.transform(starts, lambda i: F.xxhash64(code.substr(i, F.lit(4 * SHINGLE))))
 
 
 def with_minima(rows: DataFrame, line: str = "line") -> DataFrame:
     """``rows`` plus ``minima``: the least hash of each bin that has one, in order of the bins.
 
-    The sorted hashes are a column of their own: what a lambda reaches for must be computed
-    already, or it would be computed anew for every element.
+    The bins' lower ends are sorted among the hashes, and the least hash of a bin comes next to its end.
     """
-    ordered = rows.withColumn("_ordered", F.sort_array(shingles(F.col(line))))
-    before = lambda i: F.get(F.col("_ordered"), i - 1)
-    first = lambda h, i: (i == 0) | (F.shiftright(h, 61) != F.shiftright(before(i), 61))
-    return ordered.withColumn("minima", F.filter("_ordered", first)).drop("_ordered")
+    ends = [F.lit(k << 61) for k in range(-BINS // 2, BINS // 2)]
+    ordered = rows.withColumn("_code", coded(F.col(line))).withColumn("_ordered", F.sort_array(F.concat(windows(F.col("_code")), F.array(*ends))))
+    after = F.array(*[F.get("_ordered", F.array_position("_ordered", end).cast("int")) for end in ends])
+    return ordered.withColumn("minima", F.filter(after, lambda h, i: F.shiftright(h, 61) == i - BINS // 2)).drop("_code", "_ordered")
 
 
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,9 +74,11 @@ def _key(level: int) -> Column:
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a, b = sets.select(F.col("node"), F.col("s").alias("s1")), sets.select(F.col("node").alias("centre"), F.col("s").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2"))
-    return pairs.join(a, "node").join(b, "centre").where(both >= threshold * (F.size("s1") + F.size("s2") - both)).select("node", "centre")
+    """The (node, centre) ``pairs`` of index >= ``threshold``; ``sets``: (node, code, n) with the number of different windows."""
+    side = lambda name, k: sets.select(F.col("node").alias(name), F.col("code").alias(f"code{k}"), F.col("n").alias(f"n{k}"))
+    both = F.size(F.array_intersect(windows(F.col("code1")), windows(F.col("code2"))))
+    near = (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")) & ((1 + threshold) * both >= threshold * (F.col("n1") + F.col("n2")))
+    return pairs.join(side("node", 1), "node").join(side("centre", 2), "centre").where(near).select("node", "centre")
 
 
 def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -85,10 +94,13 @@ def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFr
     member = materialize(banded.join(shared.hint("shuffle_hash"), "band").groupBy("band", "node").agg(F.min("pos").alias("pos")), "line-bands")
 
     free_shuffles(rows.sparkSession)
-    # The shingle sets of lines in such bands, from one document that holds the line.
+    # The lines in such bands, from one document that holds the line. Their windows are hashed where they
+    # are compared: written, they would take many times the room of the text.
     wanted = once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     texts = rows.join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi").select("node", "line").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", shingles(F.col("line")).alias("s")), "line-sets")
+    code = materialize(texts.select("node", coded(F.col("line")).alias("code")), "line-codes")
+    sets = materialize(code.select("node", "code", F.size(F.array_distinct(windows(F.col("code")))).alias("n")), "line-sets")
+    drop_table(rows.sparkSession, code)
 
     free_shuffles(rows.sparkSession)
     found: list[DataFrame] = []

@@ -170,6 +170,20 @@ def test_line_dedup_looks_at_every_character(spark):
     assert got == brute_removed(texts) == {(1, 4): (1, 2), (2, 2): (2, 0), (4, 1): (4, 0)}
 
 
+def test_line_dedup_of_crowded_bands(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(45))
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(40)]
+        texts.append(passage + " " + " ".join(own))
+        own[rng.randrange(40)] = word()
+        texts.append(passage + " " + " ".join(own))
+    want = brute_removed(texts)
+    assert len(want) == 150 and removed_by_spark(spark, texts) == want
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -4,11 +4,13 @@ A line's shingles are its windows of ``SHINGLE`` characters, one from every char
 at the line's end). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
 the least hash of each bin is the signature (one-permutation MinHash). Two neighbouring minima,
 around the circle, are a band. The lines of a band are compared with its smallest line; what
-does not match it is compared pair by pair where at most ``FEW`` lines are left, and where there
-are more, the band is split by further minima (three have to agree, then five, then all), so
-that lines which only share a passage part ways and no band pairs all its lines. A pair counts
-as a link only if the exact Jaccard index of the shingle sets is at least ``threshold``.
-Union-find joins the links and one line per component stays: the first by (doc_id, line number).
+does not match it is compared pair by pair where at most ``FEW`` lines are left. The lines of
+more crowded bands meet in regions instead, those of their rarest windows, which bring together
+every linked pair among them (exact, see ``_regions``); lines that only share a passage do not
+meet there. Links merge components, and pairs within one component are not compared again. A
+pair counts as a link only if the exact Jaccard index of the shingle sets is at least
+``threshold``. Union-find joins the links and one line per component stays: the first by
+(doc_id, line number).
 
 Equal lines are one vertex: its id is the 64-bit hash of the line. Recall of bands of two at an
 index of 0.75 is 98.8 %, at 0.85 99.9 %.
@@ -16,17 +18,13 @@ index of 0.75 is 98.8 %, at 0.85 99.9 %.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import drop_table, free_shuffles, materialize
 
 SHINGLE, BINS, FEW = 12, 8, 16
-#: Minima that have to agree in a band, then in what is left of a crowded one, and so on.
-LEVELS = (2, 3, 5, 8)
 
 
 def line_key(line: Column) -> Column:
@@ -66,11 +64,10 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return split.select("doc_id", "line_no", line_key(F.col("raw")).alias("line")).where(F.col("line").isNotNull()).withColumn("node", F.xxhash64("line"))
 
 
-def _key(level: int) -> Column:
-    """The band at place ``pos``: ``level`` minima from there, around the circle."""
+def _band() -> Column:
+    """The band at place ``pos``: two minima from there, around the circle."""
     n = F.size("minima")
-    turned = F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(level)))
-    return F.xxhash64(turned)
+    return F.xxhash64(F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(2))))
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -81,6 +78,27 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("node", 1), "node").join(side("centre", 2), "centre").where(near).select("node", "centre")
 
 
+def _open(members: DataFrame, comp: DataFrame, key: str) -> DataFrame:
+    """``members`` of the groups by ``key`` that lie in several components, with ``c``, theirs, and ``n_in``, the group's size."""
+    named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    several = named.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in")).where("lo < hi")
+    return named.join(several.select(key, "n_in"), key)
+
+
+def _regions(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(s, node, size, place): the first windows of every line, rare ones first, that a partner cannot all lack.
+
+    A line of n different windows shares at least threshold * n of them with any line it is linked
+    to, so the first that two linked lines share is among the first n - ceil(threshold * n) + 1 of both.
+    """
+    own = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode(F.array_distinct(windows(F.col("code")))).alias("s"))
+    counts = own.groupBy("s").agg(F.count("*").alias("m"))
+    ordered = own.join(counts, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
+    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    placed = ordered.select("node", F.col("n").alias("size"), F.posexplode(first).alias("place", "w"))
+    return placed.where("w.m > 1").select(F.col("w.s").alias("s"), "node", "size", "place")
+
+
 def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together.
 
@@ -89,9 +107,9 @@ def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFr
     """
     once = materialize(signed.groupBy("node", "minima").agg(F.min("doc_id").alias("doc_id")), "line-vertices")
     places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
-    banded = places.select("node", "pos", _key(LEVELS[0]).alias("band"))
+    banded = places.select("node", _band().alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    member = materialize(banded.join(shared.hint("shuffle_hash"), "band").groupBy("band", "node").agg(F.min("pos").alias("pos")), "line-bands")
+    member = materialize(banded.join(shared.hint("shuffle_hash"), "band").distinct(), "line-bands")
 
     free_shuffles(rows.sparkSession)
     # The lines in such bands, from one document that holds the line. Their windows are hashed where they
@@ -103,23 +121,37 @@ def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFr
     drop_table(rows.sparkSession, code)
 
     free_shuffles(rows.sparkSession)
-    found: list[DataFrame] = []
-    bucket, sized = member, lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy("band")))
-    for deeper_level in (*LEVELS[1:], None):
-        star = bucket.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).where("centre < hi").select("band", "centre")
-        spokes = materialize(bucket.join(star, "band").where("node > centre"), "line-spokes")
-        good = materialize(_matching(spokes.select("node", "centre").distinct(), sets, threshold), "line-links")
-        found.append(good)
-        rest = materialize(sized(spokes.join(good, ["node", "centre"], "left_anti").select("band", "node", "pos")).where("_n > 1"), "line-rest")
-        few = rest if deeper_level is None else rest.where(F.col("_n") <= FEW)
-        a, b = few.select("band", "node"), few.select("band", F.col("node").alias("centre"))
-        found.append(materialize(_matching(a.join(b, "band").where("node > centre").select("node", "centre").distinct(), sets, threshold), "line-links"))
-        many = rest.where(F.col("_n") > FEW)
-        if deeper_level is None or many.isEmpty():
-            break
-        deeper = many.join(once.select("node", "minima"), "node").select(F.xxhash64("band", _key(deeper_level)).alias("band"), "node", "pos")
-        bucket = materialize(sized(deeper).where("_n > 1").drop("_n"), "line-deeper")
-    return reduce(DataFrame.union, found).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    star = member.groupBy("band").agg(F.min("node").alias("centre"))
+    spokes = materialize(member.join(star, "band").where("node > centre"), "line-spokes")
+    good = materialize(_matching(spokes.select("node", "centre").distinct(), sets, threshold), "line-links")
+    comp = components(good, "node", "centre", label="line-components")
+
+    free_shuffles(rows.sparkSession)
+    rest = spokes.join(good, ["node", "centre"], "left_anti").select("band", "node")
+    rest = materialize(_open(rest, comp, "band"), "line-rest")
+    few = rest.where(F.col("n_in") <= FEW)
+    other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"))
+    pairs = few.join(other, "band").where("node > centre AND c <> cc").select("node", "centre")
+    region = materialize(_regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), sets, threshold), "line-regions")
+    near = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize"))
+    ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
+    sides = [F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc")]
+
+    # In each region one line is compared with all, then whoever is in none of its large component.
+    named = _open(region, comp, "s")
+    pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c")).alias("p")).select("s", "p.*")
+    hung = named.join(pivot.select("s", F.col("node").alias("centre"), *sides), "s").where("c <> cc").where(near).select(*ends)
+    good = good.union(materialize(_matching(pairs.union(hung).distinct(), sets, threshold), "line-links"))
+    comp = components(good, "node", "centre", label="line-components")
+
+    free_shuffles(rows.sparkSession)
+    named = materialize(_open(region, comp, "s"), "line-open")
+    counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
+    outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
+    pairs = materialize(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), "line-pairs")
+    good = good.union(materialize(_matching(pairs, sets, threshold), "line-links"))
+    return good.select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

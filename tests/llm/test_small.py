@@ -184,6 +184,23 @@ def test_line_dedup_of_crowded_bands(spark):
     assert len(want) == 150 and removed_by_spark(spark, texts) == want
 
 
+def test_line_dedup_of_chains(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(100):
+        line = [word() for _ in range(80)]
+        for step in range(3):
+            texts.append(" ".join(line))
+            for k in (7, 33, 60):
+                line[k + 3 * step] = word()
+    want, got = brute_removed(texts), removed_by_spark(spark, texts)
+    ends = [windows12(t) for t in texts]
+    apart = sum(100 * len(ends[i] & ends[i + 2]) < 75 * len(ends[i] | ends[i + 2]) for i in range(0, 300, 3))
+    assert apart >= 90 and len(want) == 200
+    assert sum(got.get(at) == keeper for at, keeper in want.items()) >= 196
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -3,9 +3,9 @@
 A line's shingles are its windows of ``SHINGLE`` characters, one from every character on (shorter
 at the line's end). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
 the least hash of each bin is the signature (one-permutation MinHash). Two neighbouring minima,
-around the circle, are a band. The lines of a band are compared with its smallest line; what
-does not match it is compared pair by pair where at most ``FEW`` lines are left. The lines of
-more crowded bands meet in regions instead, those of their rarest windows, which bring together
+around the circle, are a band. The lines of a band are compared with its smallest line; where
+that leaves several components, all others, matched or not, are compared pair by pair if they
+are at most ``FEW``. The lines of more crowded bands meet in regions instead, those of their rarest windows, which bring together
 every linked pair among them (exact, see ``_regions``); lines that only share a passage do not
 meet there. Links merge components, and pairs within one component are not compared again. A
 pair counts as a link only if the exact Jaccard index of the shingle sets is at least
@@ -127,8 +127,8 @@ def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFr
     comp = components(good, "node", "centre", label="line-components")
 
     free_shuffles(rows.sparkSession)
-    rest = spokes.join(good, ["node", "centre"], "left_anti").select("band", "node")
-    rest = materialize(_open(rest, comp, "band"), "line-rest")
+    # Lines that match the centre stay, as others may only match them; pairs with the centre are done.
+    rest = materialize(_open(spokes.select("band", "node"), comp, "band"), "line-rest")
     few = rest.where(F.col("n_in") <= FEW)
     other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"))
     pairs = few.join(other, "band").where("node > centre AND c <> cc").select("node", "centre")

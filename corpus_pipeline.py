@@ -54,7 +54,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Fitted models, fingerprints and tokenizers are beyond SQL; tests hold the stages to brute force.
+#: Fitted models, fingerprints and tokenizers are beyond SQL. Tests hold the operators to brute force, line dedup on few cases; none runs a stage.
 ORACLE_SQL = None
 
 

@@ -246,3 +246,9 @@ def test_common_prefix_and_samples(spark):
     n = spark.createDataFrame([(1, i) for i in range(10)], "k int, i int")
     assert [r.i for r in grouping.even_samples(n, ["k"], ["i"], 4).orderBy("i").collect()] == [0, 3, 6, 9]
     assert grouping.even_samples(n, ["k"], ["i"], 1).count() == 1
+
+
+def test_plan_tree_has_every_folder(spark):
+    d = spark.range(20_500).selectExpr("array('a', concat('f', id)) AS parts")
+    page = reports.plan_tree_html(d)
+    assert page.count("<summary>") == page.count("</details>") == 20_501 and "<summary>a (20500)</summary>" in page and "f9999 (1)" in page

@@ -76,12 +76,12 @@ def write_plan_csv(plan: DataFrame, path: str) -> None:
             w.writerow(["" if x is None else x for x in r])
 
 
-def plan_tree_html(plan: DataFrame, most: int = 20_000) -> str:
+def plan_tree_html(plan: DataFrame) -> str:
     """Folders of the plan with the files below each, as nested lists. ``plan`` has ``parts``."""
-    tree = tree_counts(plan.withColumn("rel", F.array_join("parts", "/")), "rel").orderBy("prefix").limit(most).collect()
+    tree = tree_counts(plan.withColumn("rel", F.array_join("parts", "/")), "rel").orderBy(F.split("prefix", "/"))
     out, depth = io.StringIO(), 0
     out.write("<!doctype html><meta charset=utf-8><title>plan</title>")
-    for r in sorted(tree, key=lambda r: r.prefix.split("/")):
+    for r in tree.toLocalIterator():
         while depth >= r.depth:
             out.write("</details>")
             depth -= 1

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import drop_table, enter, free_shuffles, id_text, materialize
+from tidemark.llm.shared import drop_table, enter, id_text, materialize
 
 WORDS = 5
 #: Regions of so many members are joined pair by pair.
@@ -187,7 +187,6 @@ def _possible(pairs: DataFrame, window: DataFrame, num: int, den: int) -> DataFr
 def _verified(pairs: DataFrame, window: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """The links among ``pairs``; full sets are only made for texts in pairs that their windows leave possible."""
     left = materialize(_possible(pairs, window, num, den), "jaccard-possible")
-    free_shuffles(docs.sparkSession)
     wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
     texts = docs.join(first.join(wanted, "node").select("doc_id").distinct(), "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
@@ -216,7 +215,6 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
     member = every.join(shared, "s").distinct()
     member = materialize(member.select("s", "node", F.shiftright("where", 32).cast("int").alias("size"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")), "jaccard-members")
 
-    free_shuffles(docs.sparkSession)
 
     near = (den + num) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= num * (F.col("size") + F.col("csize"))
     ends = [F.least("node", "cnode").alias("u"), F.greatest("node", "cnode").alias("v")]
@@ -234,7 +232,6 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
 
     found, comp, more = None, None, few
     for r in range(rounds + 1):
-        free_shuffles(docs.sparkSession)
         named = left.withColumn("c", F.col("node"))
         if comp is not None:
             named = left.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")

@@ -1,19 +1,24 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's shingles are its windows of ``SHINGLE`` characters, one from every character on (shorter
-at the line's end). One hash per shingle; the range of hashes is cut into ``BINS`` equal bins, and
-the least hash of each bin is the signature (one-permutation MinHash). Two neighbouring minima,
-around the circle, are a band. The lines of a band are compared with its smallest line; where
-that leaves several components, all others, matched or not, are compared pair by pair if they
-are at most ``FEW``. The lines of more crowded bands meet in regions instead, those of their rarest windows, which bring together
-every linked pair among them (exact, see ``_regions``); lines that only share a passage do not
-meet there. Links merge components, and pairs within one component are not compared again. A
-pair counts as a link only if the exact Jaccard index of the shingle sets is at least
+A line's shingles are its windows of ``SHINGLE`` characters (UTF-16 units), one from every
+character on, shorter at the line's end. One hash per shingle; the range of hashes is cut into
+``BINS`` equal bins, and the least hash of each bin is the signature (one-permutation MinHash).
+Windows are exploded, hashed and reduced within generated code; a hash so high that it is a bin's
+least with a probability of about e^-8 is left out of that, which spares most of the work on long
+lines and is the same for equal lines.
+
+Two neighbouring minima, around the circle, are a band. The lines of a band are compared with its
+smallest line; where that leaves several components, all others, matched or not, are compared
+pair by pair if they are at most ``FEW``. The lines of more crowded bands meet in regions instead,
+those of their rarest windows, which bring together every linked pair among them (exact, see
+``_regions``); lines that only share a passage do not meet there. Links merge components, and
+pairs within one component are not compared again. Pairs whose full signatures agree in fewer
+than ``AGREE`` bins are not verified; at an index of 0.75 that happens to 0.4 % of pairs.
+
+A pair counts as a link only if the exact Jaccard index of the sets of all windows is at least
 ``threshold``. Union-find joins the links and one line per component stays: the first by
-(doc_id, line number).
-
-Equal lines are one vertex: its id is the 64-bit hash of the line. Recall of bands of two at an
-index of 0.75 is 98.8 %, at 0.85 99.9 %.
+(doc_id, line number). Equal lines are one vertex: its id is the 64-bit hash of the line.
+Expected recall of bands of two at an index of 0.75 is 98.8 %, at 0.85 99.9 %.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import drop_table, free_shuffles, materialize
+from tidemark.llm.shared import drop_table, materialize
 
-SHINGLE, BINS, FEW = 12, 8, 16
+SHINGLE, BINS, FEW, AGREE = 12, 8, 16, 3
+#: Hashes are kept up to this many a bin and line on average.
+_DEPTH = 8
+_NO_ID = -(1 << 63)
 
 
 def line_key(line: Column) -> Column:
@@ -34,28 +42,21 @@ def line_key(line: Column) -> Column:
 
 
 def coded(line: Column) -> Column:
-    """The characters at four bytes each, so that a window is a slice of known place."""
-    return F.encode(line, "UTF-32")
+    """The characters at two bytes each, so that a window is a slice of known place."""
+    return F.encode(line, "UTF-16BE")
 
 
-def windows(code: Column) -> Column:
-    """The hash of the window of SHINGLE characters from every character on (shorter at the line's end).
+def window_at(code: Column, i: Column) -> Column:
+    return F.xxhash64(code.substr(i, F.lit(2 * SHINGLE)))
 
-    ``code`` must be a column that is computed already, or it would be computed anew for every window.
-    """
-    starts = F.sequence(F.lit(1), F.length(code), F.lit(4))
-    return F.transform(starts, lambda i: F.xxhash64(code.substr(i, F.lit(4 * SHINGLE))))
 
+def starts(code: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(code), F.lit(2))
 
-def with_minima(rows: DataFrame, line: str = "line") -> DataFrame:
-    """``rows`` plus ``minima``: the least hash of each bin that has one, in order of the bins.
 
-    The bins' lower ends are sorted among the hashes, and the least hash of a bin comes next to its end.
-    """
-    ends = [F.lit(k << 61) for k in range(-BINS // 2, BINS // 2)]
-    ordered = rows.withColumn("_code", coded(F.col(line))).withColumn("_ordered", F.sort_array(F.concat(windows(F.col("_code")), F.array(*ends))))
-    after = F.array(*[F.get("_ordered", F.array_position("_ordered", end).cast("int")) for end in ends])
-    return ordered.withColumn("minima", F.filter(after, lambda h, i: F.shiftright(h, 61) == i - BINS // 2)).drop("_code", "_ordered")
+def windows(code: Column) -> Column:
+    """The hashes of all windows. ``code`` must be a column that is computed already."""
+    return F.transform(starts(code), lambda i: window_at(code, i))
 
 
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,18 +65,36 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return split.select("doc_id", "line_no", line_key(F.col("raw")).alias("line")).where(F.col("line").isNotNull()).withColumn("node", F.xxhash64("line"))
 
 
+def signatures(rows: DataFrame) -> DataFrame:
+    """(node, doc_id, minima) of every different line; ``doc_id`` holds the line (rows without id as the least one)."""
+    code = rows.select("node", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), coded(F.col("line")).alias("code"))
+    each = code.select("node", "doc_id", (F.length("code") / 2).alias("n"), "code", F.explode(starts(F.col("code"))).alias("i"))
+    h = each.select("node", "doc_id", "n", window_at(F.col("code"), F.col("i")).alias("h"))
+    within = F.col("h").bitwiseAND(F.lit((1 << 61) - 1)).cast("double")
+    low = h.where(within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61)))
+    least = [F.min(F.when(F.shiftrightunsigned("h", 61) == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)]
+    found = low.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *least)
+    return found.select("node", "doc_id", F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("minima"))
+
+
 def _band() -> Column:
     """The band at place ``pos``: two minima from there, around the circle."""
     n = F.size("minima")
     return F.xxhash64(F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(2))))
 
 
-def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (node, centre) ``pairs`` of index >= ``threshold``; ``sets``: (node, code, n) with the number of different windows."""
-    side = lambda name, k: sets.select(F.col("node").alias(name), F.col("code").alias(f"code{k}"), F.col("n").alias(f"n{k}"))
-    both = F.size(F.array_intersect(windows(F.col("code1")), windows(F.col("code2"))))
-    near = (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")) & ((1 + threshold) * both >= threshold * (F.col("n1") + F.col("n2")))
-    return pairs.join(side("node", 1), "node").join(side("centre", 2), "centre").where(near).select("node", "centre")
+def _alike(a: str, b: str) -> Column:
+    """Whether two signatures agree in enough bins; lines with an empty bin always do."""
+    return (F.size(F.array_intersect(a, b)) >= AGREE) | (F.size(a) < BINS) | (F.size(b) < BINS)
+
+
+def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """The (node, centre) ``pairs`` of index >= ``threshold``; ``codes``: (node, code)."""
+    side = lambda name, k: codes.select(F.col("node").alias(name), F.col("code").alias(f"code{k}"))
+    both = pairs.join(side("node", 1), "node").join(side("centre", 2), "centre")
+    sets = both.select("node", "centre", *[F.array_distinct(windows(F.col(f"code{k}"))).alias(f"s{k}") for k in (1, 2)])
+    n = F.size("s1") + F.size("s2")
+    return sets.where((1 + threshold) * F.size(F.array_intersect("s1", "s2")) >= threshold * n).select("node", "centre")
 
 
 def _open(members: DataFrame, comp: DataFrame, key: str) -> DataFrame:
@@ -85,54 +104,56 @@ def _open(members: DataFrame, comp: DataFrame, key: str) -> DataFrame:
     return named.join(several.select(key, "n_in"), key)
 
 
-def _regions(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
     """(s, node, size, place): the first windows of every line, rare ones first, that a partner cannot all lack.
 
     A line of n different windows shares at least threshold * n of them with any line it is linked
     to, so the first that two linked lines share is among the first n - ceil(threshold * n) + 1 of both.
     """
-    own = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode(F.array_distinct(windows(F.col("code")))).alias("s"))
-    counts = own.groupBy("s").agg(F.count("*").alias("m"))
-    ordered = own.join(counts, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
-    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
-    placed = ordered.select("node", F.col("n").alias("size"), F.posexplode(first).alias("place", "w"))
-    return placed.where("w.m > 1").select(F.col("w.s").alias("s"), "node", "size", "place")
-
-
-def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together.
-
-    ``signed``: (node, doc_id, minima) of ``rows``, written, as a filter pushed below it would
-    compute the minima once per element.
-    """
-    once = materialize(signed.groupBy("node", "minima").agg(F.min("doc_id").alias("doc_id")), "line-vertices")
+    each = codes.join(nodes, "node", "left_semi").select("node", "code", F.explode(starts(F.col("code"))).alias("i"))
+    own = each.select("node", window_at(F.col("code"), F.col("i")).alias("s")).distinct()
+    own = materialize(own, "line-windows")
+    size = own.groupBy("node").agg(F.count("*").cast("int").alias("size"))
+    shared = own.groupBy("s").agg(F.count("*").cast("int").alias("m")).where("m > 1")
+    ordered = own.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
+    # Windows that no other line has come first; they are counted, not kept.
+    alone = F.col("size") - F.size("o")
+    first = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone))
+    placed = ordered.join(size, "node").select("node", "size", alone.alias("alone"), F.posexplode(first).alias("nth", "w"))
+    out = materialize(placed.select(F.col("w.s").alias("s"), "node", "size", (F.col("alone") + F.col("nth")).alias("place")), "line-regions")
+    drop_table(nodes.sparkSession, own)
+    return out
+
+
+def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together."""
+    spark = rows.sparkSession
+    once = materialize(signatures(rows), "line-vertices")
     places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
-    banded = places.select("node", _band().alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    member = materialize(banded.join(shared.hint("shuffle_hash"), "band").distinct(), "line-bands")
-
-    free_shuffles(rows.sparkSession)
-    # The lines in such bands, from one document that holds the line. Their windows are hashed where they
-    # are compared: written, they would take many times the room of the text.
-    wanted = once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
-    texts = rows.join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi").select("node", "line").dropDuplicates(["node"])
-    code = materialize(texts.select("node", coded(F.col("line")).alias("code")), "line-codes")
-    sets = materialize(code.select("node", "code", F.size(F.array_distinct(windows(F.col("code")))).alias("n")), "line-sets")
-    drop_table(rows.sparkSession, code)
-
-    free_shuffles(rows.sparkSession)
-    star = member.groupBy("band").agg(F.min("node").alias("centre"))
-    spokes = materialize(member.join(star, "band").where("node > centre"), "line-spokes")
-    good = materialize(_matching(spokes.select("node", "centre").distinct(), sets, threshold), "line-links")
+    banded = places.select("node", _band().alias("band")).distinct()
+    star = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    member = materialize(banded.join(star.hint("shuffle_hash"), "band"), "line-bands")
+
+    # The lines in such bands, from one document that holds the line.
+    wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi"), "line-wanted")
+    drop_table(spark, once)
+    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted.select("node", "doc_id").hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
+    codes = materialize(texts.select("node", "line").dropDuplicates(["node"]).select("node", coded(F.col("line")).alias("code")), "line-codes")
+    signed = wanted.select("node", "minima")
+    side = signed.select(F.col("node").alias("centre"), F.col("minima").alias("own"))
+
+    spokes = member.where("node > centre").select("node", "centre").distinct()
+    spokes = spokes.join(signed, "node").join(side, "centre").where(_alike("minima", "own")).select("node", "centre")
+    good = materialize(_matching(spokes, codes, threshold), "line-links")
     comp = components(good, "node", "centre", label="line-components")
 
-    free_shuffles(rows.sparkSession)
     # Lines that match the centre stay, as others may only match them; pairs with the centre are done.
-    rest = materialize(_open(spokes.select("band", "node"), comp, "band"), "line-rest")
-    few = rest.where(F.col("n_in") <= FEW)
-    other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"))
-    pairs = few.join(other, "band").where("node > centre AND c <> cc").select("node", "centre")
-    region = materialize(_regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), sets, threshold), "line-regions")
+    rest = materialize(_open(member.where("n > 2 AND node > centre").select("band", "node"), comp, "band"), "line-rest")
+    drop_table(spark, member)
+    few = rest.where(F.col("n_in") <= FEW).join(signed, "node")
+    other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"), F.col("minima").alias("own"))
+    pairs = few.join(other, "band").where("node > centre AND c <> cc").where(_alike("minima", "own")).select("node", "centre")
+    region = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
     near = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize"))
     ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
     sides = [F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc")]
@@ -141,17 +162,16 @@ def links(rows: DataFrame, signed: DataFrame, threshold: float = 0.75) -> DataFr
     named = _open(region, comp, "s")
     pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c")).alias("p")).select("s", "p.*")
     hung = named.join(pivot.select("s", F.col("node").alias("centre"), *sides), "s").where("c <> cc").where(near).select(*ends)
-    good = good.union(materialize(_matching(pairs.union(hung).distinct(), sets, threshold), "line-links"))
-    comp = components(good, "node", "centre", label="line-components")
+    more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
+    comp = components(good.union(more), "node", "centre", label="line-components")
 
-    free_shuffles(rows.sparkSession)
     named = materialize(_open(region, comp, "s"), "line-open")
     counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
     largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
     outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
-    pairs = materialize(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), "line-pairs")
-    good = good.union(materialize(_matching(pairs, sets, threshold), "line-links"))
-    return good.select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), codes, threshold), "line-links")
+    drop_table(spark, wanted, codes, rest, region, named)
+    return good.union(more).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,16 +180,18 @@ def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "
     Blank lines are never redundant. Rows that share an id count as parts of one document; of
     lines at one place the tie goes either way, as they have one number. Rows without id sort first.
     """
+    spark = documents.sparkSession
     rows = lines(documents, id_col, text_col)
-    signed = materialize(with_minima(rows).drop("line"), "line-signatures")
-    comp = components(links(rows, signed, threshold), label="line-components")
-    free_shuffles(documents.sparkSession)
-    slim = signed.select("doc_id", "line_no", "node")
-    first = slim.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    joined = first.join(comp, first["node"] == comp["id"], "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
-    keepers = joined.groupBy("c").agg(F.min("at").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
-    known = joined.join(keepers.drop("n"), "c").select("node", "keeper")
-    return slim.join(known, "node").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper"))).select(
+    comp = components(links(rows, threshold), label="line-components")
+    slim = materialize(rows.select("doc_id", "line_no", "node"), "line-places")
+    counts = slim.groupBy("node").agg(F.count("*").alias("n"))
+    named = counts.join(comp, counts["node"] == comp["id"], "left").select("node", "n", F.coalesce("component", "node").alias("c"))
+    classes = named.where("n > 1 OR c <> node").select("c").union(comp.select("component")).distinct()
+    # Only lines of classes of several are looked at again.
+    alike = materialize(slim.join(named.join(classes, "c", "left_semi").select("node", "c"), "node").select("doc_id", "line_no", "c"), "line-alike")
+    keepers = alike.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
+    drop_table(spark, slim)
+    return alike.join(keepers, "c").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper"))).select(
         "doc_id", "line_no", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line")
     )
 

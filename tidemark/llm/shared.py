@@ -6,9 +6,8 @@ import contextlib
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,38 +16,42 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset (tests, one
-    machine) a temporary folder is made and set, so later calls in the session agree.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local master may leave it
+    unset (tests, one machine): a temporary folder is made once and used by the whole session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        base = found or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """Statements in this block delete their shuffle files as they end, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage and shuffle files end there."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    with shuffles_end_here(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished jobs; to be called between large steps.
-
-    It does so when the driver collects its garbage, which a driver with little to do puts off for
-    long. Frames in use keep theirs, and a job's plan is held until its last events are handled:
-    hence between statements, after a moment, and twice.
-    """
-    for _ in range(2):
-        time.sleep(0.8)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 _worker: dict = {"operator": None, "forget": []}
 
 
@@ -71,10 +74,10 @@ def enter(operator: str) -> None:
     _worker["operator"] = operator
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`; nothing may read it afterwards."""
+def drop_table(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize`; nothing may read them afterwards."""
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import enter, free_shuffles, id_text, materialize
+from tidemark.llm.shared import enter, id_text, materialize
 
 LENGTH, GRAM = 100, 24
 #: Anchors with more occurrences are split by windows.
@@ -338,7 +338,6 @@ def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:
     every = anchors(docs)
     often = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", (F.col("c") > hot).alias("hot"))
     repeated = materialize(every.join(often, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "run", "hot")).alias("runs")), "anchors")
-    free_shuffles(docs.sparkSession)
     contexts = _contexts(docs.join(repeated, "doc_id").select("doc_id", "text", "runs"))
     spans = contexts.repartition("v").sortWithinPartitions("v", "doc_id", "first").mapInArrow(_resolve, _SPANS)
     return materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
@@ -368,7 +367,6 @@ def apply_cuts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = id_text(documents, id_col, text_col)
     runs = removable(docs.where(F.col("doc_id").isNotNull()))
-    free_shuffles(docs.sparkSession)
     joined = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

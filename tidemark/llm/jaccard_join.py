@@ -1,32 +1,39 @@
 """N-gram Jaccard join: exact links between word-shingle sets, as a metric-space join.
 
-The Jaccard distance 1 - J is a metric, but whole documents make poor pivots: two texts that are
-not near copies share almost no 5-word shingles, so they lie at distance 1 from almost every
-document. Pivots here are the one-shingle sets. A document lies nearer to the pivots it contains
-(1 - 1/n) than to all others (1); ties go by one global order, common shingles last, then by
-hash, so a document's Voronoi region is that of its first shingle. By the triangle inequality
-for the symmetric difference, |A xor B| <= (1-t)/(1+t) (|A| + |B|) for a linked pair: not more
-than n - ceil(t n) of a document's shingles can be missing in a partner. So the pair meets in
-the region of a shingle among the first n - ceil(t n) + 1 of both, and boundary documents are
-copied into exactly those regions (their window).
-
-Regions join recursively. Sets that are equal are one vertex from the start. Regions of at most
-FEW members are joined pair by pair. In each larger one all members are compared with one pivot document; the links merge components, and a region whose
-members are in one component is done. What is left goes to the next round with another pivot
-document; the last round compares every member outside a region's largest component with all members of other
-components. A link inside a component would change nothing, so components are exact and no
-group emits all its pairs.
+**Regions.** The Jaccard distance 1 - J is a metric, but two texts that are not near copies share
+almost no 5-word shingles: they lie at distance 1 from almost every document, and Voronoi regions
+of documents would not part them. The first pivots are therefore the one-shingle sets. A document
+lies nearer to the pivots it contains (1 - 1/n) than to all others (1); ties go by one global
+order, common shingles last, then by hash, so its Voronoi region is that of its first shingle.
+By the triangle inequality for the symmetric difference, |A xor B| <= (1-t)/(1+t) (|A| + |B|)
+for a linked pair: not more than n - ceil(t n) of a document's shingles can be missing in a
+partner. So the pair meets in the region of a shingle among the first n - ceil(t n) + 1 of both,
+and boundary documents are copied into exactly those regions (their window).
+
+**Recursion.** Regions of more than FEW members get pivot documents. Within them the distance is
+H, in how many of BITS hash classes of shingles two sets differ in parity: a pseudometric, and
+never above |A xor B|. First all members are compared with one pivot; then each member goes to
+the cell of its nearest pivot document (Voronoi) and, by the triangle inequality, is copied into
+the cell of each pivot p with H(x, p) <= H(x, nearest) + 2 d(x), where d(x) = (1-t)/t |x| is the
+farthest that a partner of x can be. A linked pair thus meets in the home cell of either document.
+Links with pivots merge components; a region or cell in one component is done. In the cells of
+the last level members of different components are compared, if H allows a link.
+
+Candidates are verified on their full sets. Sets that are equal are one vertex from the start.
+A link inside a component would change nothing, so components are exact and no group emits all
+its pairs. The operator yields components, not all links within them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -38,6 +45,8 @@ FEW = 6
 #: Shingles that a task meets in this many different texts are reported as common, and at most
 #: so many of all tasks' reports are sent back (the order only has to be the same everywhere).
 COMMON_IN_TASK, MOST_COMMON = 3, 1 << 18
+#: Hash classes of shingles whose parities are kept for each document, and pivots of a region by level.
+BITS, PIVOTS = 1024, (1, 4)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -85,6 +94,12 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of BITS hash classes, whether the set has an odd number of it: packed in longs."""
+    held = np.bincount((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((held & 1).astype(np.uint8)).view(np.int64)
+
+
 def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """At most MOST_COMMON shingles that some task met in COMMON_IN_TASK different sets, the most frequent first."""
 
@@ -120,8 +135,8 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (75, 100), words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, window): each text's vertex and, for a task's first text of a vertex, its
-    regions' shingles in order. Texts without words have node null."""
+    """(doc_id, n_shingles, node, window, parity): each text's vertex and, for a task's first text of a vertex, its
+    regions' shingles in order and its parities. Texts without words have node null."""
     num, den = threshold
     order = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[order], (len(common) - order).astype(np.int64)))  # at most MOST_COMMON
@@ -133,7 +148,7 @@ def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (7
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                size, node, window, ends = [], [], [], [0]
+                size, node, window, ends, parity = [], [], [], [0], []
                 for t in part.column(1):
                     s = shingler.set_of(t.as_py())
                     n = len(s)
@@ -147,15 +162,17 @@ def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (7
                             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                             heavy = np.where(known[at] == s, rank[at], 0)
                             s = s[np.lexsort((s, heavy))] if heavy.any() else s
+                        parity.append(parities(s))
                         window.append(s[:p])
                         ends.append(ends[-1] + p)
                     else:
+                        parity.append(None)
                         ends.append(ends[-1])
                 flat = _signed(np.concatenate(window)) if window else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists], ["doc_id", "n_shingles", "node", "window"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "window", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -173,87 +190,105 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "node long, s array<long>")
 
 
-def _possible(pairs: DataFrame, window: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that can still be links by their windows alone.
-
-    Of two windows one ends first in the order; its shingles can only be met in the other window,
-    so the overlap is at most the windows' overlap and what lies behind that window.
-    """
-    side = lambda name, k: window.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{k}"), F.col("window").alias(f"w{k}"))
-    most = F.size(F.array_intersect("w1", "w2")) + F.greatest(F.col("n1") - F.size("w1"), F.col("n2") - F.size("w2"))
-    return pairs.join(side("u", 1), "u").join(side("v", 2), "v").where((den + num) * most >= num * (F.col("n1") + F.col("n2"))).select("u", "v")
+def _apart(a: str, b: str) -> Column:
+    """H, from two columns of parities."""
+    differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
+    return sum(differ[1:], differ[0])
 
 
-def _verified(pairs: DataFrame, window: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """The links among ``pairs``; full sets are only made for texts in pairs that their windows leave possible."""
-    left = materialize(_possible(pairs, window, num, den), "jaccard-possible")
-    wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
-    texts = docs.join(first.join(wanted, "node").select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """The links among ``pairs`` (u, v), which are written already; full sets are made for their texts alone."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    chosen = materialize(first.join(wanted, "node"), "jaccard-texts")  # (node, doc_id)
+    texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialize(shingle_sets(texts, words).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("s1")), sets.select(F.col("node").alias("v"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))
-    good = materialize(left.join(a, "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v"), "jaccard-links")
-    drop_table(docs.sparkSession, sets)
+    good = materialize(pairs.join(a, "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v"), "jaccard-links")
+    drop_table(docs.sparkSession, sets, chosen)
     return good
 
 
-def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = WORDS, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members of the cells (s, cell) that lie in several components, with ``c``, theirs."""
+    named = members.withColumn("c", F.col("node"))
+    if comp is not None:
+        named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    several = named.groupBy("s", "cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("home").alias("homes")).where("lo < hi AND homes")
+    return named.join(several.select("s", "cell"), ["s", "cell"])
+
+
+def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = WORDS, pivots: tuple[int, ...] = PIVOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_equal): every row with its class.
 
     Texts are linked if num/den of the union of their shingle sets is in both. ``component_id`` is
     the smallest id reachable, ``n_equal`` counts the rows with the same set. Null and empty texts,
     and texts of white space, have no shingles and are classes of their own, as are rows without
     id. Rows that share an id are one vertex for numbering but are compared text by text.
+    ``pivots``: how many pivot documents a region gets at each level.
     """
     num, den = threshold
+    spark = documents.sparkSession
     docs = id_text(documents, id_col, text_col)
     common = common_shingles(docs, words)
     vertex = materialize(windows(docs, common, threshold, words), "jaccard-vertices")
     every = vertex.select("node", (F.col("n_shingles") * (1 << 32)).alias("size"), F.posexplode("window").alias("place", "s"))
     every = every.select("s", "node", (F.col("size") + F.col("place")).alias("where"))  # packed, as every row is shuffled
-    shared = every.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    member = every.join(shared, "s").distinct()
-    member = materialize(member.select("s", "node", F.shiftright("where", 32).cast("int").alias("size"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")), "jaccard-members")
-
+    # Written before it is joined, so that a join on a hot shingle can be split. n counts a text once for each task that met it.
+    shared = every.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("s", (F.col("n") > FEW).alias("many"))
+    shared = materialize(shared, "jaccard-shared")
+    met = every.join(shared, "s").select("s", "many", "node", F.shiftright("where", 32).cast("int").alias("size"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    member = materialize(met.distinct(), "jaccard-members")
+
+    known = vertex.where("parity IS NOT NULL").select("node", "parity").join(member.select("node").distinct(), "node", "left_semi")
+    parity = materialize(known.dropDuplicates(["node"]), "jaccard-parities")
+    first = materialize(vertex.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "jaccard-firsts")
+    rows = materialize(vertex.select("doc_id", "n_shingles", "node"), "jaccard-nodes")
+    drop_table(spark, vertex)
 
     near = (den + num) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= num * (F.col("size") + F.col("csize"))
+    apart = (den + num) * _apart("parity", "cparity") <= (den - num) * (F.col("size") + F.col("csize"))
     ends = [F.least("node", "cnode").alias("u"), F.greatest("node", "cnode").alias("v")]
-    sizes = member.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    small = member.join(sizes.where(F.col("n") <= FEW).select("s"), "s")
-    other = small.select("s", F.col("node").alias("cnode"), F.col("size").alias("csize"), F.col("place").alias("cplace"))
-    few = materialize(small.join(other, "s").where("node < cnode").where(near).select(*ends).distinct(), "jaccard-few")
-    left = materialize(member.join(sizes.where(F.col("n") > FEW).select("s"), "s"), "jaccard-large")
-
-    wanted = few.select(F.col("u").alias("node")).union(few.select("v")).union(left.select("node")).distinct()
-    full = vertex.where(F.size("window") > 0).select("node", "n_shingles", "window").join(wanted, "node", "left_semi")
-    window = materialize(full.dropDuplicates(["node"]), "jaccard-windows")
-    vertex = materialize(vertex.select("doc_id", "n_shingles", "node"), "jaccard-nodes")
-    first = vertex.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    found, comp, more = None, None, few
-    for r in range(rounds + 1):
-        named = left.withColumn("c", F.col("node"))
-        if comp is not None:
-            named = left.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_ = named.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-        named = materialize(named.select("s", "node", "size", "place", "c").join(open_, "s"), "jaccard-open")
-        if r < rounds:
-            key = F.xxhash64("node", "s", F.lit(r))
-            pivot = named.groupBy("s").agg(F.min(F.struct(key.alias("k"), "node", "size", "place", "c")).alias("p"))
-            pivot = pivot.select("s", F.col("p.node").alias("cnode"), F.col("p.size").alias("csize"), F.col("p.place").alias("cplace"), F.col("p.c").alias("cc"))
+    other = [F.col(c).alias(f"c{c}") for c in ("node", "size", "place")]
+    small = member.where("NOT many")
+    few = small.join(small.select("s", *other), "s").where("node < cnode").where(near).select("node", "size", "cnode", "csize").distinct()
+    few = few.join(parity, "node").join(parity.select(F.col("node").alias("cnode"), F.col("parity").alias("cparity")), "cnode").where(apart).select(*ends)
+    few = materialize(few, "jaccard-few")
+    large = member.where("many").join(parity, "node")
+    left = materialize(large.select("s", "node", "size", "place", "parity", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home")), "jaccard-large")
+    drop_table(spark, member, shared)
+
+    comp, more = None, few
+    for n in (*pivots, 0):
+        named = materialize(_open(left, comp), "jaccard-open")
+        drop_table(spark, left)
+        place = [F.col(c).alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")]
+        if n:
+            whole = [F.col(c) for c in ("node", "size", "place", "parity", "c")]
+            chosen = named.groupBy("s", "cell").agg(*[F.min(F.struct(F.xxhash64("node", "s", "cell", F.lit(i)).alias("k"), *whole)).alias(f"p{i}") for i in range(n)])
+            beside = named.join(chosen, ["s", "cell"])
+            met = beside.select(*[F.col(c) for c in ("node", "size", "place", "parity", "c")], F.explode(F.array(*[f"p{i}" for i in range(n)])).alias("p"))
+            met = met.select("node", "size", "place", "parity", "c", *[F.col(f"p.{c}").alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")])
+            pairs = met.where("c <> cc").where(near).where(apart).select(*ends)
+            far = beside.withColumn("h", F.array(*[_apart("parity", f"p{i}.parity") for i in range(n)]))
+            nearest = far.withColumn("nearest", F.array_min("h"))
+            reach = F.col("nearest") + 2 * F.floor((den - num) * F.col("size") / num)
+            cells = nearest.select("s", "node", "size", "place", "parity", "cell", "home", F.array_position("h", F.col("nearest")).alias("own"), F.explode(F.filter(F.transform("h", lambda h, i: F.when(h <= reach, i)), F.isnotnull)).alias("i"))
+            cells = cells.select("s", "node", "size", "place", "parity", F.xxhash64("cell", "i").alias("cell"), (F.col("home") & (F.col("own") == F.col("i") + 1)).alias("home"))
+            left = materialize(cells, "jaccard-cells")
         else:
-            counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
-            largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
-            pivot = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("cnode"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))
-        pairs = named.join(pivot, "s").where("c <> cc").where(near).select(*ends)
+            counts = named.groupBy("s", "cell", "c").agg(F.count("*").alias("n"))
+            largest = counts.groupBy("s", "cell").agg(F.max(F.struct("n", "c")).alias("b")).select("s", "cell", F.col("b.c").alias("big"))
+            outside = named.join(largest, ["s", "cell"]).where("c <> big").select("s", "cell", *place, F.col("home").alias("chome"))
+            pairs = named.join(outside, ["s", "cell"]).where("c <> cc AND (home OR chome)").where(near).where(apart).select(*ends)
         pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "jaccard-pairs")
         more = None
-        good = _verified(pairs, window, first, docs, num, den, words)
-        found = good if found is None else found.union(good)
-        comp = components(found, label="jaccard-components")
-        left = named.drop("c")
-    classes = vertex.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_equal")).where("node IS NOT NULL")
-    linked = classes.join(comp, classes["node"] == comp["id"], "left").select("node", "first", "n_equal", F.coalesce("component", "node").alias("c"))
-    smallest = linked.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = linked.join(smallest, "c").select("node", "component_id", "n_equal")
-    return vertex.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+        good = _verified(pairs, first, docs, num, den, words)
+        drop_table(spark, named, pairs)
+        stars = [] if comp is None else [comp.select(F.col("id").alias("u"), F.col("component").alias("v"))]
+        comp = components(reduce(DataFrame.union, [good, *stars]), label="jaccard-components")
+    drop_table(spark, few, parity)
+    linked = first.join(comp, first["node"] == comp["id"], "left").select("node", "doc_id", "n_equal", F.coalesce("component", "node").alias("c"))
+    smallest = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    classes = linked.join(smallest, "c").select("node", "component_id", "n_equal")
+    return rows.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))

@@ -4,8 +4,8 @@ A line's shingles are its windows of ``SHINGLE`` characters (UTF-16 units), one
 character on, shorter at the line's end. One hash per shingle; the range of hashes is cut into
 ``BINS`` equal bins, and the least hash of each bin is the signature (one-permutation MinHash).
 Windows are exploded, hashed and reduced within generated code; a hash so high that it is a bin's
-least with a probability of about e^-8 is left out of that, which spares most of the work on long
-lines and is the same for equal lines.
+least with a probability of about e^-8 is left out of that (not in lines that repeat themselves),
+which spares most of the work on long lines and is the same for equal lines.
 
 Two neighbouring minima, around the circle, are a band. The lines of a band are compared with its
 smallest line; where that leaves several components, all others, matched or not, are compared
@@ -33,6 +33,8 @@ SHINGLE, BINS, FEW, AGREE = 12, 8, 16, 3
 #: Hashes are kept up to this many a bin and line on average.
 _DEPTH = 8
 _NO_ID = -(1 << 63)
+#: Places spread over a line (multiples of the golden ratio), as shares of its length.
+_SHARES = [k * 0.6180339887498949 % 1 for k in range(16)]
 
 
 def line_key(line: Column) -> Column:
@@ -68,10 +70,14 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def signatures(rows: DataFrame) -> DataFrame:
     """(node, doc_id, minima) of every different line; ``doc_id`` holds the line (rows without id as the least one)."""
     code = rows.select("node", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), coded(F.col("line")).alias("code"))
-    each = code.select("node", "doc_id", (F.length("code") / 2).alias("n"), "code", F.explode(starts(F.col("code"))).alias("i"))
-    h = each.select("node", "doc_id", "n", window_at(F.col("code"), F.col("i")).alias("h"))
+    # Lines that repeat themselves have few different windows: if any of some places look alike, all hashes are kept.
+    some = [window_at(F.col("code"), F.floor(F.length("code") / 2 * share).cast("int") * 2 + 1) for share in _SHARES]
+    varied = F.size(F.array_distinct(F.array(*some))) == len(some)
+    code = code.withColumn("n", F.when(varied, F.length("code") / 2).otherwise(1.0))
+    each = code.select("node", "doc_id", "n", "code", F.explode(starts(F.col("code"))).alias("i"))
+    h = each.select("node", "doc_id", "n", "i", window_at(F.col("code"), F.col("i")).alias("h"))
     within = F.col("h").bitwiseAND(F.lit((1 << 61) - 1)).cast("double")
-    low = h.where(within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61)))
+    low = h.where((within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61))) | (F.col("i") == 1))
     least = [F.min(F.when(F.shiftrightunsigned("h", 61) == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)]
     found = low.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *least)
     return found.select("node", "doc_id", F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("minima"))
@@ -97,6 +103,10 @@ def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame
     return sets.where((1 + threshold) * F.size(F.array_intersect("s1", "s2")) >= threshold * n).select("node", "centre")
 
 
+def _edges(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("id").alias("node"), F.col("component").alias("centre"))
+
+
 def _open(members: DataFrame, comp: DataFrame, key: str) -> DataFrame:
     """``members`` of the groups by ``key`` that lie in several components, with ``c``, theirs, and ``n_in``, the group's size."""
     named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -126,13 +136,15 @@ def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(u, v) node pairs of exact index >= ``threshold`` that connect what the bands bring together."""
+    """(u, v): node pairs with the components of the links of exact index >= ``threshold`` among what the bands bring together."""
     spark = rows.sparkSession
     once = materialize(signatures(rows), "line-vertices")
     places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
-    banded = places.select("node", _band().alias("band")).distinct()
-    star = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    member = materialize(banded.join(star.hint("shuffle_hash"), "band"), "line-bands")
+    banded = places.select("node", _band().alias("band"))
+    # Written before it is joined, so that the join on a hot band can be split.
+    star = materialize(banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "line-stars")
+    member = materialize(banded.join(star.hint("shuffle_hash"), "band").distinct(), "line-bands")
+    drop_table(spark, star)
 
     # The lines in such bands, from one document that holds the line.
     wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi"), "line-wanted")
@@ -163,7 +175,7 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c")).alias("p")).select("s", "p.*")
     hung = named.join(pivot.select("s", F.col("node").alias("centre"), *sides), "s").where("c <> cc").where(near).select(*ends)
     more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
-    comp = components(good.union(more), "node", "centre", label="line-components")
+    comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
 
     named = materialize(_open(region, comp, "s"), "line-open")
     counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
@@ -171,7 +183,7 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
     last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), codes, threshold), "line-links")
     drop_table(spark, wanted, codes, rest, region, named)
-    return good.union(more).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

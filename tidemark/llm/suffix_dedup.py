@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import enter, id_text, materialize
+from tidemark.llm.shared import drop_table, enter, id_text, materialize
 
 LENGTH, GRAM = 100, 24
 #: Anchors with more occurrences are split by windows.
@@ -335,12 +335,17 @@ def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     The repeated anchors and the result are written, so that one step's shuffle is gone before the next.
     """
-    every = anchors(docs)
-    often = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", (F.col("c") > hot).alias("hot"))
+    spark = docs.sparkSession
+    every = materialize(anchors(docs), "anchor-runs")
+    # Written before it is joined, so that the join on a hot anchor can be split.
+    often = materialize(every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", (F.col("c") > hot).alias("hot")), "anchors-often")
     repeated = materialize(every.join(often, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "run", "hot")).alias("runs")), "anchors")
+    drop_table(spark, every, often)
     contexts = _contexts(docs.join(repeated, "doc_id").select("doc_id", "text", "runs"))
     spans = contexts.repartition("v").sortWithinPartitions("v", "doc_id", "first").mapInArrow(_resolve, _SPANS)
-    return materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
+    found = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
+    drop_table(spark, repeated)
+    return found
 
 
 def cut(data: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int]:

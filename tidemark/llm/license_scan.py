@@ -79,20 +79,21 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     sizes = docs.select("doc_id", F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long").alias("n_words"))
 
-    words = docs.select("doc_id", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORDS), F.lit(0)).alias("w"))
-    places = words.select("doc_id", F.posexplode(grams(F.col("w"))).alias("pos", "gram"))
+    # Votes are counted by row, so that copies of a row do not fill each other's phrases.
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORDS), F.lit(0)).alias("w"))
+    places = words.select("doc_id", "row", F.posexplode(grams(F.col("w"))).alias("pos", "gram"))
     known = template_grams(documents.sparkSession).withColumn("h", F.xxhash64("gram"))
     hits = places.join(F.broadcast(known.withColumnRenamed("gram", "own")), (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("own")))
-    votes = hits.groupBy("doc_id", "template", "label", "base", "grams", "length", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    votes = hits.groupBy("doc_id", "row", "template", "label", "base", "grams", "length", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
 
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    along = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True)) | F.col("base")
     spans = (
         votes.withColumn("apart", apart.cast("int"))
         .withColumn("span", F.sum("apart").over(along))
-        .groupBy("doc_id", "template", "label", "base", "grams", "length", "span")
+        .groupBy("doc_id", "row", "template", "label", "base", "grams", "length", "span")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + K).alias("end"), F.min("diagonal").alias("start"))
     )
     share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))

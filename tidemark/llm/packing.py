@@ -39,8 +39,8 @@ WORD_SPLIT = rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETT
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes; the library encodes each distinct word once.
 
-    Plain Latin texts are split here and their words looked up; other texts, and texts with
-    special strings, go to the library whole. Words are remembered in two generations of about
+    Texts that are plain Latin once normalised are split here and their words looked up; other
+    texts, and texts with special strings, go to the library whole. Words are remembered in two generations of about
     ``memory`` each: when the younger is full it takes the place of the older, from which words
     in use come back.
     """
@@ -67,7 +67,8 @@ class WordIds:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words that are new to the memory go to the library in one call."""
-        split = [self._split.findall(unicodedata.normalize("NFC", t).lower()) if "<|" not in t and is_plain(t) else None for t in texts]
+        normal = [unicodedata.normalize("NFC", t).lower() for t in texts]
+        split = [self._split.findall(n) if "<|" not in t and is_plain(n) else None for t, n in zip(texts, normal, strict=True)]
         if len(self._memory) > self._most:
             self._older, self._memory = self._memory, {}
         memory, older = self._memory, self._older
@@ -267,6 +268,11 @@ def _put(rooms: list[int], open_runs: dict[int, list[tuple[int, int]]], room: in
     open_runs[room].append((at, count))
 
 
+def best_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan by groups or, if that needs fewer sequences, plain best fit of falling lengths."""
+    return min((plan(histogram, capacity), plan(histogram, capacity, large_from=capacity)), key=lambda p: p[1])
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, salt_rows: int = 50_000) -> DataFrame:
     """``pieces`` (of :func:`token_pieces`, already written: it is read twice) plus sequence_id and offset.
 
@@ -275,7 +281,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, salt_rows: int = 50_000) -> Da
     """
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     histogram = {int(r.length): int(r.n) for r in counts}
-    runs, _ = plan(histogram, capacity)
+    runs, _ = best_plan(histogram, capacity)
     table: dict[int, list[tuple]] = defaultdict(list)
     for length, *run in runs:
         table[length].append(tuple(run))

@@ -54,23 +54,23 @@ def _op5_sql() -> str:
     return f"""
 WITH t(template, label, base, grams, length, place, gram) AS (VALUES {rows}),
 w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), p AS (
-  SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w)
+  SELECT doc_id, row, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT doc_id, row, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w)
 ), v AS (
-  SELECT doc_id, template, label, base, grams, length, pos - place AS diagonal,
+  SELECT doc_id, row, template, label, base, grams, length, pos - place AS diagonal,
          count(*) AS votes, min(pos) AS first, max(pos) AS last
   FROM p JOIN t USING (gram) GROUP BY ALL
 ), a AS (
-  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {license_scan.NEAR}, true) THEN 1 ELSE 0 END AS apart
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, row, template ORDER BY diagonal) > {license_scan.NEAR}, true) THEN 1 ELSE 0 END AS apart
   FROM v
 ), s AS (
-  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM a
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, row, template ORDER BY diagonal) AS span FROM a
 ), m AS (
-  SELECT doc_id, template, label, base, grams, length, span, sum(votes) AS votes,
+  SELECT doc_id, row, template, label, base, grams, length, span, sum(votes) AS votes,
          min(first) AS first, max(last) + {k} AS stop, min(diagonal) AS start
   FROM s GROUP BY ALL
 ), f AS (
@@ -83,10 +83,10 @@ w AS (
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
   FROM f GROUP BY doc_id
 )
-SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+SELECT w.doc_id, CAST(w.n_words AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM w LEFT JOIN g USING (doc_id)
+FROM (SELECT doc_id, sum(len(w)) AS n_words FROM w GROUP BY doc_id) w LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM w.doc_id
 """
 
 

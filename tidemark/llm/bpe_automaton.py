@@ -11,7 +11,10 @@ Full rows (states x labels) would hold over 10^9 cells, nearly all of them arcs.
 keeps the gadgets' log (who was copied from whom and when, what was removed and when) and
 fills cells of the transition table when they are first asked for, as lazy automata do.
 
-Encoding follows arcs over the bytes of a word; decoding emits the labels of the arcs.
+Labels span several bytes, so encoding a word walks its bytes with a prefix table of the labels,
+tries the arcs that end at each byte, longest first, and steps back from states without one;
+the accepting path is unique, so the first that is found is the answer. Decoding emits the
+labels of the arcs.
 """
 
 from __future__ import annotations
@@ -157,11 +160,12 @@ class MergeAutomaton:
 class ByteBpe:
     """A byte-level vocabulary file (tokenizers' JSON) as an automaton plus its special strings.
 
-    The merges' results for a word are remembered, at most ``memory`` words; the memory is
-    emptied when full, so it stays bounded on any corpus.
+    The merges' results for a word are remembered in two generations of at most ``memory`` words
+    each: when the younger is full it takes the place of the older, from which words in use come
+    back. Memory stays bounded on any corpus.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -174,16 +178,19 @@ class ByteBpe:
         self._split, self._latin = regex.compile(PRE_SPLIT), re.compile(LATIN_SPLIT)
         some = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, some)) + ")") if some else None
-        self._memory, self._most = {}, memory
+        self._memory, self._older, self._most = {}, {}, memory
 
     def _learn(self, words: list[str]) -> None:
         if len(self._memory) >= self._most:
-            self._memory.clear()
-        encode, decode = self.automaton.encode, self.automaton.decode
+            self._older, self._memory = self._memory, {}
+        encode, decode, memory, older = self.automaton.encode, self.automaton.decode, self._memory, self._older
         for w in set(words):
-            if w not in self._memory:
-                ids = encode(w.encode("utf-8"))
-                self._memory[w] = (",".join(map(str, ids)), decode(ids))
+            if w not in memory:
+                known = older.get(w)
+                if known is None:
+                    ids = encode(w.encode("utf-8"))
+                    known = (",".join(map(str, ids)), decode(ids))
+                memory[w] = known
 
     def digest_parts(self, text: str) -> tuple[str, bytes]:
         """The ids as decimal text joined by commas, and the bytes that decoding them emits."""
@@ -193,12 +200,15 @@ class ByteBpe:
             if part in self.special:
                 found.append((str(self.special[part]), part.encode("utf-8")))
                 continue
-            words, memory = (self._latin if is_plain(part) else self._split).findall(part), self._memory
+            words = (self._latin if is_plain(part) else self._split).findall(part)
+            memory = self._memory
             try:
-                found += [memory[w] for w in words]
+                known = [memory[w] for w in words]
             except KeyError:
                 self._learn(words)
-                found += [memory[w] for w in words]
+                memory = self._memory
+                known = [memory[w] for w in words]
+            found += known
         return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def encode(self, text: str) -> list[int]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
@@ -102,6 +102,7 @@ class LogicalStream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)  # granule position of the page a packet ends on
+    on: list[int] = field(default_factory=list)  # that page's number
     open: list[bytes] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
@@ -133,6 +134,7 @@ def demultiplex(data: bytes) -> dict[int, LogicalStream]:
             if lace < 255:
                 s.packets.append(b"".join([*s.open, data[pos : pos + run]]))
                 s.ends.append(granule)
+                s.on.append(number)
                 s.open, pos, run = [], pos + run, 0
         if run:
             s.open.append(data[pos : pos + run])
@@ -145,6 +147,16 @@ def demultiplex(data: bytes) -> dict[int, LogicalStream]:
     return found
 
 
+def end_positions(s: LogicalStream, samples: Callable[[bytes], int] = len) -> list[int]:
+    """Where each packet ends. A page gives the position of its last packet's end; those before it on the page
+    end earlier by the samples of the packets between."""
+    out = list(s.ends)
+    for k in range(len(out) - 2, -1, -1):
+        if s.on[k] == s.on[k + 1]:
+            out[k] = out[k + 1] - samples(s.packets[k + 1])
+    return out
+
+
 def pcm_streams(payload: bytes, unpadded: int, rate: int = SAMPLE_RATE) -> dict[int, list[tuple[bytes, int]]]:
     """A stream of samples, headed by its format, beside a stream that notes the length without padding."""
     serial = zlib.crc32(payload) & 0xFFFFFFFE
@@ -182,7 +194,7 @@ def read(media: bytes) -> Samples:
     payload = b"".join(audio.packets[1:])
     if audio.ends[-1] != len(payload):
         raise OggError("the last granule position is not the number of samples")
-    return Samples(payload, struct.unpack("<Q", note.packets[1])[0], rate, len(payload) / rate, [g / rate for g in audio.ends[1:]])
+    return Samples(payload, struct.unpack("<Q", note.packets[1])[0], rate, len(payload) / rate, [g / rate for g in end_positions(audio)[1:]])
 
 
 def feature(s: Samples) -> str:

@@ -1,13 +1,14 @@
 """Toxicity: a logistic classifier that identity terms may not sway.
 
-The model sees which words and word beginnings a whole text contains. Labelled sentences that
-mention a group are rewritten with another term of the same kind (a counterfactual); training
-adds the mean squared change of the score to the loss, so a neutral mention of any group weighs
-as little as that of any other, and group terms cannot stand for toxicity.
-
-Fitting uses at most ``sample_rows`` labelled rows, taken by a hash of their id (so a larger
-table gives a sample of the same size); counting features, choosing them and fitting them are
-bounded by that number. Scoring covers every row and needs no shuffle.
+The model sees which words and word beginnings a whole text contains. Sentences of labelled texts
+that mention a group are written anew with other terms of the same kind (counterfactuals); both
+are scored, and training adds the mean squared change of the score to the loss. A neutral mention
+of one group then weighs as little as that of any other, and group terms cannot stand for toxicity.
+
+Fitting uses at most ``sample_rows`` labelled rows and ``sample_sentences`` of their sentences,
+taken by hash (so a larger table gives a sample of the same size); counting features, choosing
+them and fitting them are bounded by these numbers. Scoring covers every row and needs no shuffle.
+Rows of ``documents`` that share an id teach as one: the one whose text is least.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import enter, materialize
+from tidemark.llm.shared import drop_table, enter, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -62,13 +63,13 @@ def features(text: str) -> set[str]:
 
 
 def counterfactuals(text: str) -> list[tuple[str, str]]:
-    """(term, stand-in) for each group term in each sentence of the text, once each."""
+    """(sentence, sentence with every group term swapped) of each sentence of the text that has one."""
     found = []
     for sentence in _SENTENCE.findall(text.lower()):
-        for w in _WORD.findall(sentence):
-            if w in _KIND:
-                found.append((w, swap(w, 1 + len(found) % (len(_KIND[w]) - 1))))
-    return sorted(set(found))
+        if any(w in _KIND for w in _WORD.findall(sentence)):
+            by = 1 + len(found)
+            found.append((sentence, _WORD.sub(lambda m: swap(m[0], 1 + by % (len(_KIND[m[0]]) - 1)) if m[0] in _KIND else m[0], sentence)))
+    return found
 
 
 @dataclass
@@ -84,26 +85,42 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit_matrix(rows: list[np.ndarray], labels: np.ndarray, width: int, swaps: np.ndarray, l2: float, fairness: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Minimise mean log-loss + l2 |w|^2 + fairness * mean (w_a - w_b)^2 over the swaps (a, b).
+class _Rows:
+    """Sets of feature numbers, and their scores under weights."""
 
-    ``rows`` hold feature numbers. Adam on the full batch: the same rows give the same model.
+    def __init__(self, rows: list):
+        self.n = len(rows)
+        self.flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(self.n), [len(r) for r in rows])
+
+    def scores(self, b: float, w: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(b + np.bincount(self.of, w[self.flat], self.n), -30, 30)))
+
+    def pull(self, g: np.ndarray, width: int) -> np.ndarray:
+        """The weights' gradient if ``g`` is that of each row's logit."""
+        return np.bincount(self.flat, g[self.of], width)
+
+
+def fit_matrix(rows: list, labels: np.ndarray, width: int, pairs: list[tuple], l2: float, fairness: float, steps: int = 400) -> tuple[float, np.ndarray]:
+    """Minimise mean log-loss + l2 |w|^2 + fairness * mean (score of a - score of b)^2 over the pairs (a, b) of sentences.
+
+    Rows and sentences are sets of feature numbers. Adam on the full batch: the same rows give the same model.
     """
-    n = len(rows)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    prior = (labels.sum() + 1) / (n + 10)
+    x, one, other = _Rows(rows), _Rows([a for a, _ in pairs]), _Rows([b for _, b in pairs])
+    prior = (labels.sum() + 1) / (x.n + 10)
     w, b = np.zeros(width), math.log(prior / (1 - prior))
-    if not n or not width:
+    if not x.n or not width:
         return b, w
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = b + np.bincount(of, w[flat], n)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        gw, gb = np.bincount(flat, g[of], width) + 2 * l2 * w, g.sum()
-        if len(swaps):
-            d = 2 * fairness * (w[swaps[:, 0]] - w[swaps[:, 1]]) / len(swaps)
-            gw += np.bincount(swaps[:, 0], d, width) - np.bincount(swaps[:, 1], d, width)
+        g = (x.scores(b, w) - labels) / x.n
+        gw, gb = x.pull(g, width) + 2 * l2 * w, g.sum()
+        if pairs and fairness:
+            p, q = one.scores(b, w), other.scores(b, w)
+            d = 2 * fairness * (p - q) / len(pairs)
+            gp, gq = d * p * (1 - p), -d * q * (1 - q)
+            gw += one.pull(gp, width) + other.pull(gq, width)
+            gb += gp.sum() + gq.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2, rate = 1 - 0.9**t, 1 - 0.999**t, 0.1 * (1 - 0.9 * t / steps)
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -111,7 +128,7 @@ def fit_matrix(rows: list[np.ndarray], labels: np.ndarray, width: int, swaps: np
     return b, w
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_features: int = 4096, l2: float = 1e-5, fairness: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, sample_sentences: int = 16384, max_features: int = 4096, l2: float = 1e-5, fairness: float = 10.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of ``label_col`` (0 or 1; null rows are left out) from at most ``sample_rows`` rows of ``labels``.
 
     An id that is labelled twice counts with its larger label. Without any labelled text the
@@ -121,7 +138,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_fe
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sample = materialize(texts.join(F.broadcast(chosen), "id").select("id", "y", "text"), "toxicity-sample")  # broadcast: at most sample_rows rows
+    held = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # broadcast: at most sample_rows rows
+    sample = materialize(held, "toxicity-sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
@@ -152,12 +170,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_fe
         for b in batches:
             found = [t.as_py() for t in b.column(2)]
             rows = [sorted(known[f] for f in features(t) if f in known) for t in found]
-            pairs = [[known[x] for pair in counterfactuals(t) for x in pair] for t in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.int32()))], ["id", "y", "row", "swaps"])
-
-    got = sorted(sample.mapInArrow(encode, "id long, y int, row array<int>, swaps array<int>").collect(), key=lambda r: (r.id, r.y, r.row))
-    swaps = np.array([x for r in got for x in r.swaps], np.int64).reshape(-1, 2)
-    bias, w = fit_matrix([np.array(r.row, np.int64) for r in got], np.array([r.y for r in got], float), len(vocabulary), swaps, l2, fairness)
+            pairs = [[{k: sorted(known[f] for f in features(s) if f in known) for k, s in zip("ab", pair, strict=True)} for pair in counterfactuals(t)] for t in found]
+            kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(pairs, kind)], ["id", "y", "row", "pairs"])
+
+    encoded = materialize(sample.mapInArrow(encode, "id long, y int, row array<int>, pairs array<struct<a:array<int>,b:array<int>>>"), "toxicity-features")
+    got = sorted(encoded.select("id", "y", "row").collect())
+    two = encoded.select(F.explode("pairs").alias("p")).where("p.a <> p.b").groupBy("p").agg(F.count("*").alias("n"))
+    pairs = sorted((r.p.a, r.p.b) for r in two.orderBy(F.xxhash64("p.a", "p.b"), "p").limit(sample_sentences).collect())
+    drop_table(spark, sample, encoded)
+    bias, w = fit_matrix([r.row for r in got], np.array([r.y for r in got], float), len(vocabulary), pairs, l2, fairness)
     return Model(float(bias), {f: float(x) for f, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-4})
 
 

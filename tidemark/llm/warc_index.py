@@ -21,13 +21,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize, shared_dir
+from tidemark.llm.shared import materialize, partitions_for, shared_dir
 
 #: A fixed date: archives of equal pages are equal.
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _ID = "urn:x-page:"
 _GAP, _READ = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads, about.
+_TASK = 32 << 20
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -90,7 +92,9 @@ def plan_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     many = (
         p.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest")
     )
-    return p.join(many, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("newest") != F.col("page_id"), F.col("newest")).alias("refers_to"))
+    # Ids of copies are joined to their digests first, then to the payloads: copies of a large page do not meet in a task.
+    older = p.select("page_id", "digest").join(many, "digest").where("page_id <> newest").groupBy("page_id", "digest").agg(F.max("newest").alias("newest"))
+    return p.join(older, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", F.when(F.col("newest") != F.col("page_id"), F.col("newest")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -179,8 +183,11 @@ def read_records(index: DataFrame) -> DataFrame:
             opened.close()
 
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    chosen = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return chosen.mapInArrow(run, schema)
+    chosen = index.select("file", "offset", "length")
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    # As many ranges of places as the archives' bytes ask for: the index's own bytes say little about them.
+    parts = max(partitions_for(index), -(-total // _TASK))
+    return chosen.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:

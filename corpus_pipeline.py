@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import drop_table, materialize
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -54,12 +54,15 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Fitted models, fingerprints and tokenizers are beyond SQL. Tests hold the operators to brute force, line dedup on few cases; none runs a stage.
+#: Fitted models, fingerprints and tokenizers are beyond SQL; tests/llm holds each stage and run() to brute force on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages in turn; what a stage has read is deleted once its result is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop_table(spark, *written)
+        written = [docs]
+    return docs

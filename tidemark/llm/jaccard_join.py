@@ -16,6 +16,7 @@ never above |A xor B|. First all members are compared with one pivot; then each
 the cell of its nearest pivot document (Voronoi) and, by the triangle inequality, is copied into
 the cell of each pivot p with H(x, p) <= H(x, nearest) + 2 d(x), where d(x) = (1-t)/t |x| is the
 farthest that a partner of x can be. A linked pair thus meets in the home cell of either document.
+Regions of which some members, asked beforehand, would be copied into most cells stay whole.
 Links with pivots merge components; a region or cell in one component is done. In the cells of
 the last level members of different components are compared, if H allows a link.
 
@@ -47,6 +48,10 @@ FEW = 6
 COMMON_IN_TASK, MOST_COMMON = 3, 1 << 18
 #: Hash classes of shingles whose parities are kept for each document, and pivots of a region by level.
 BITS, PIVOTS = 1024, (1, 4)
+#: Members of a region that are asked whether cells would part them; where they would not, the region stays whole.
+PROBES = 3
+#: So many ids of texts, checked by a count, are sent to every task.
+_SENT = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -190,17 +195,27 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "node long, s array<long>")
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: Column | str, b: Column | str) -> Column:
     """H, from two columns of parities."""
     differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
     return sum(differ[1:], differ[0])
 
 
+def _cells(parity: Column, size: Column, pivots: Column, num: int, den: int) -> Column:
+    """The numbers of the pivots whose cells a member is in, its own (the nearest) first."""
+    near = F.array_sort(F.transform(pivots, lambda p, i: F.struct(_apart(parity, p["parity"]).alias("h"), i.alias("i"))))
+    reach = lambda n: F.get(n, F.lit(0))["h"] + 2 * F.floor((den - num) * size / num)
+    inside = F.transform(F.array(near), lambda n: F.filter(n, lambda x: x["h"] <= reach(n)))  # so that ``near`` is computed once
+    return F.transform(F.get(inside, F.lit(0)), lambda x: x["i"])
+
+
 def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """The links among ``pairs`` (u, v), which are written already; full sets are made for their texts alone."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    chosen = materialize(first.join(wanted, "node"), "jaccard-texts")  # (node, doc_id)
-    texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = materialize(first.join(wanted, "node").select("node", "doc_id"), "jaccard-texts")
+    ids = chosen.select("doc_id").distinct()
+    few = chosen.count() <= _SENT  # then the ids go to the texts; else texts are shuffled
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, words).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("s1")), sets.select(F.col("node").alias("v"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))
@@ -260,22 +275,27 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
 
     comp, more = None, few
     for n in (*pivots, 0):
-        named = materialize(_open(left, comp), "jaccard-open")
-        drop_table(spark, left)
+        named, before = materialize(_open(left, comp), "jaccard-open"), left
+        drop_table(spark, before)
         place = [F.col(c).alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")]
         if n:
             whole = [F.col(c) for c in ("node", "size", "place", "parity", "c")]
-            chosen = named.groupBy("s", "cell").agg(*[F.min(F.struct(F.xxhash64("node", "s", "cell", F.lit(i)).alias("k"), *whole)).alias(f"p{i}") for i in range(n)])
-            beside = named.join(chosen, ["s", "cell"])
-            met = beside.select(*[F.col(c) for c in ("node", "size", "place", "parity", "c")], F.explode(F.array(*[f"p{i}" for i in range(n)])).alias("p"))
-            met = met.select("node", "size", "place", "parity", "c", *[F.col(f"p.{c}").alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")])
+            picked = [F.min(F.struct(F.xxhash64("node", "s", "cell", F.lit(i)).alias("k"), *whole)) for i in range(n + PROBES * (n > 1))]
+            chosen = named.groupBy("s", "cell").agg(F.array(*picked).alias("all")).withColumn("ps", F.slice("all", 1, n))
+            if n > 1:  # members that are no pivots tell whether cells would be smaller than the region
+                copies = F.transform(F.slice("all", n + 1, PROBES), lambda q: F.size(_cells(q["parity"], q["size"], F.col("ps"), num, den)))
+                chosen = chosen.withColumn("parts", F.aggregate(copies, F.lit(0), lambda t, k: t + k) <= PROBES * n / 2)
+            beside = named.join(chosen.drop("all"), ["s", "cell"])
+            met = beside.select(*whole, F.explode("ps").alias("p"))
+            met = met.select(*whole, *[F.col(f"p.{c}").alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")])
             pairs = met.where("c <> cc").where(near).where(apart).select(*ends)
-            far = beside.withColumn("h", F.array(*[_apart("parity", f"p{i}.parity") for i in range(n)]))
-            nearest = far.withColumn("nearest", F.array_min("h"))
-            reach = F.col("nearest") + 2 * F.floor((den - num) * F.col("size") / num)
-            cells = nearest.select("s", "node", "size", "place", "parity", "cell", "home", F.array_position("h", F.col("nearest")).alias("own"), F.explode(F.filter(F.transform("h", lambda h, i: F.when(h <= reach, i)), F.isnotnull)).alias("i"))
-            cells = cells.select("s", "node", "size", "place", "parity", F.xxhash64("cell", "i").alias("cell"), (F.col("home") & (F.col("own") == F.col("i") + 1)).alias("home"))
-            left = materialize(cells, "jaccard-cells")
+            kept = ["s", "node", "size", "place", "parity"]
+            if n > 1:
+                split = beside.where("parts").select(*kept, "cell", "home", F.posexplode(_cells(F.col("parity"), F.col("size"), F.col("ps"), num, den)).alias("nth", "i"))
+                split = split.select(*kept, F.xxhash64("cell", "i").alias("cell"), (F.col("home") & (F.col("nth") == 0)).alias("home"))
+                left = materialize(split.union(beside.where("NOT parts").select(*kept, "cell", "home")), "jaccard-cells")
+            else:
+                left = named.select(*kept, "cell", "home")
         else:
             counts = named.groupBy("s", "cell", "c").agg(F.count("*").alias("n"))
             largest = counts.groupBy("s", "cell").agg(F.max(F.struct("n", "c")).alias("b")).select("s", "cell", F.col("b.c").alias("big"))
@@ -284,7 +304,7 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
         pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "jaccard-pairs")
         more = None
         good = _verified(pairs, first, docs, num, den, words)
-        drop_table(spark, named, pairs)
+        drop_table(spark, pairs, *([] if n == 1 else [named]))
         stars = [] if comp is None else [comp.select(F.col("id").alias("u"), F.col("component").alias("v"))]
         comp = components(reduce(DataFrame.union, [good, *stars]), label="jaccard-components")
     drop_table(spark, few, parity)

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import registry
+from tidemark.plans import index_queries, registry  # noqa: F401  the first adds to the second
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -169,7 +169,7 @@ def test_filters_reject_and_roles(spark):
     assert where.parse(["Year >= 2020"])[0] == where.Term("year", ">=", "2020")
     d = spark.createDataFrame([(1, "city", 10, 10, 5), (2, "city", 20, 10, 1), (3, "junk", 99, 99, 9), (4, "city", 1, 1, 1)], "id long, reason string, width int, height int, size long")
     g = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3), (2, 4)], "group_no int, id long")
-    assert {r.id: (r.near_dup_group, r.near_dup_role) for r in plan.near_dup_roles(d, g).collect()} == {1: (1, "duplicate"), 2: (1, "best")}
+    assert {r.id: (r.near_dup_group, r.near_dup_role) for r in plan.near_dup_roles(d, g).collect()} == {1: (1, "moved"), 2: (1, "kept")}
 
 
 def test_index_apply_and_undo(spark, tmp_path):

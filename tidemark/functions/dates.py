@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, time
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File name patterns from specific to general (fixed values): pattern, has a time of day.
+#: File name patterns, the narrowest first (fixed values): pattern, has a time of day.
 FILENAME_PATTERNS = (
     (r"(?<!\d)(\d{4})(\d{2})(\d{2})[-_](\d{2})(\d{2})(\d{2})(?:\d{3})?(?!\d)", True),
     (r"(?<!\d)(\d{4})-(\d{2})-(\d{2})[ _](?:at[ _])?(\d{2})[.\-:](\d{2})[.\-:](\d{2})(?!\d)", True),
@@ -18,8 +19,13 @@ FILENAME_PATTERNS = (
 EXIF_FORMATS = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bounded(ts: Column, lo: int, hi: int) -> Column:
-    return F.when(F.year(ts).between(lo, hi), ts)
+    return _once(ts, lambda t: F.when(F.year(t).between(lo, hi), t))
 
 
 def from_exif(value: Column, lo: int = 1990, hi: int = 2035) -> Column:
@@ -29,21 +35,24 @@ def from_exif(value: Column, lo: int = 1990, hi: int = 2035) -> Column:
 
 
 def from_filename(name: Column, lo: int = 1990, hi: int = 2035) -> Column:
-    """The first pattern whose first match is a date in bounds."""
+    """The first pattern whose first match is a date in bounds.
+
+    A pattern is matched once: its groups are the first digits of the match, in order.
+    """
 
     def attempt(pattern: str, timed: bool) -> Column:
-        part = lambda k: F.regexp_extract(name, pattern, k).try_cast("int")
-        clock = [part(4), part(5), part(6).cast("decimal(16,6)")] if timed else [F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")]
-        return _bounded(F.call_function("try_make_timestamp_ntz", part(1), part(2), part(3), *clock), lo, hi)
+        digits = F.regexp_replace(F.regexp_extract(name, pattern, 0), r"\D", "")
+        known = F.substring(digits, 1, 14 if timed else 8)
+        return _bounded(F.try_to_timestamp(known, F.lit("yyyyMMddHHmmss" if timed else "yyyyMMdd")).cast("timestamp_ntz"), lo, hi)
 
-    return F.coalesce(*[attempt(p, t) for p, t in FILENAME_PATTERNS])
+    return F.when(name.rlike(r"\d{4}"), F.coalesce(*[attempt(p, t) for p, t in FILENAME_PATTERNS]))
 
 
 def cascade(exif: Column, name: Column, mtime: Column, zone: str = "UTC", lo: int = 1990, hi: int = 2035) -> Column:
     """struct(taken_at, source, confidence): camera, else file name, else modification time in ``zone``."""
 
     def found(ts: Column, source: str, confidence: str) -> Column:
-        return F.when(ts.isNotNull(), F.struct(ts.alias("taken_at"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
+        return _once(ts, lambda t: F.when(t.isNotNull(), F.struct(t.alias("taken_at"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
 
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_seconds(mtime).cast("timestamp_ntz"))
     return F.coalesce(found(from_exif(exif, lo, hi), "exif", "high"), found(from_filename(name, lo, hi), "filename", "medium"), found(local, "mtime", "low"))

@@ -46,10 +46,17 @@ def text_fraction(boxes: Column, polygons: Column, width: Column, height: Column
     return F.when((width > 0) & (height > 0), F.least(F.lit(1.0), (flat + free) / (width * height)))
 
 
-def half(hex16: Column, which: int) -> Column:
-    """The upper (0) or lower (1) 32 bits of a signature of 16 hex digits: a 64-bit cast would overflow."""
-    return F.conv(F.substring(hex16, 1 + 8 * which, 8), 16, 10).try_cast("long")
+def bits(hexa: Column) -> Column:
+    """The digits of a hexadecimal string as bits, four each."""
+    four = lambda i: F.lpad(F.conv(F.substring(hexa, i, F.lit(1)), 16, 2), 4, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(hexa)), four), "")
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))) + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1)))
+    """Bits in which two hexadecimal strings differ; null if their lengths do. Taken in pieces of 32 bits: a 64-bit cast would overflow."""
+    piece = lambda c, i: F.conv(F.substring(c, i, F.lit(8)), 16, 10).try_cast("long")
+    differ = lambda i: F.bit_count(piece(a, i).bitwiseXOR(piece(b, i)))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)), F.lit(8))
+    total = F.aggregate(starts, F.lit(0), lambda n, i: n + F.coalesce(differ(i), F.lit(0)))
+    usual = differ(F.lit(1)) + differ(F.lit(9))  # 16 digits: no loop, so that it runs in generated code
+    return F.when(F.length(a) != F.length(b), F.lit(None).cast("int")).when(F.length(a) == 16, usual).otherwise(total)

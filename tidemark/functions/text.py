@@ -19,6 +19,7 @@ RELEASE = (
     r"\[[^\[\]]{2,30}\]",
     r"(?:[A-Za-z0-9]+\.){3,}(?:19|20)\d{2}\.",
 )
+#: Names and folders of screenshots (fixed values).
 SCREENSHOT = r"(?iu)^(screen[ _-]?shot|снимок[ _]экрана)"
 SCREENSHOT_FOLDERS = ["screenshots", "screenshot"]
 

@@ -12,14 +12,13 @@ from tidemark.functions.geometry import haversine_km
 from tidemark.operators import sessions, trips
 from tidemark.operators.grouping import carry_over, dominant
 from tidemark.schema import canonical
+from tidemark.sources.tables import stage
 
 
 def in_ranges(df: DataFrame, ts: str, ranges: DataFrame) -> DataFrame:
-    """Rows with the ranges (range_id, lo, hi) they fall into, both ends included. Ranges are few and checked to be."""
-    if ranges.limit(100_001).count() > 100_000:
-        day = ranges.withColumn("_d", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))))
-        return df.withColumn("_d", F.to_date(ts)).join(day, "_d").where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("_d")
-    return df.join(F.broadcast(ranges), F.col(ts).between(F.col("lo"), F.col("hi")))
+    """Rows with the ranges (range_id, lo, hi) they fall into, both ends included: an equi-join on the days of a range."""
+    day = ranges.where("lo <= hi").withColumn("_d", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))))
+    return df.withColumn("_d", F.to_date(ts)).join(day, "_d").where(F.col(ts).between(F.col("lo"), F.col("hi"))).drop("_d")
 
 
 def overlapping(ranges: DataFrame) -> DataFrame:
@@ -35,7 +34,8 @@ def with_locality(files: DataFrame, places: DataFrame) -> DataFrame:
 
     p = places.withColumnRenamed("file_id", "id")
     name = F.coalesce(F.col("district_name") if "district_name" in p.columns else F.lit(None).cast("string"), F.col("city") if "city" in p.columns else F.lit(None).cast("string"))
-    key = F.when(F.col("city_geonameid").isNotNull(), F.concat(F.lit("i:"), F.col("city_geonameid").cast("string"))).when(name.isNotNull(), F.concat(F.lit("s:"), casefold(name)))
+    given = F.coalesce(name, F.lit("")) != ""
+    key = F.when(F.col("city_geonameid").isNotNull(), F.concat(F.lit("i:"), F.col("city_geonameid").cast("string"))).when(given, F.concat(F.lit("s:"), casefold(F.trim(name))))
     return files.join(p, "id", "left").withColumn("locality", key)
 
 
@@ -51,20 +51,39 @@ def same_trip(max_km: float):
     return same
 
 
+def place_names(members: DataFrame) -> DataFrame:
+    """(trip, place): one locality gives its name; of several the region of the most frequent one, else its country,
+    else its own name; without any locality, null. ``members``: trip, locality, place_name, region_name, country_name, taken_at, id."""
+    most = dominant(members, ["trip"], "locality", ["taken_at", "id"], "locality").select("trip", "locality", "n_values")
+    first = members.join(most, ["trip", "locality"]).groupBy("trip", "n_values").agg(F.min_by(F.struct("place_name", "region_name", "country_name"), F.struct("taken_at", "id")).alias("x"))
+    known = lambda c: F.nullif(F.col(f"x.{c}"), F.lit(""))
+    wide = F.coalesce(known("region_name"), known("country_name"), F.col("x.place_name"))
+    return first.select("trip", F.when(F.col("n_values") == 1, F.col("x.place_name")).otherwise(wide).alias("place"))
+
+
 def build(files: DataFrame, gap_hours: float = 6, trip_gap_hours: float = 48, least: int = 5, max_km: float = 120, manual_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, event_files) from canonical files with locality columns (id, taken_at, taken_at_confidence, country,
-    locality, region, lat, lon, place_name)."""
+    locality, region, lat, lon, place_name; region_name and country_name where known)."""
     d = canonical(files).where(F.col("taken_at").isNotNull() & ~F.col("taken_at_confidence").eqNullSafe("low"))
     if manual_files is not None:
         d = d.join(manual_files.select(F.col("file_id").alias("id")), "id", "left_anti")
+    for c in ("region_name", "country_name"):
+        if c not in d.columns:
+            d = d.withColumn(c, F.lit(None).cast("string"))
     d = sessions.overall(d, "taken_at", ["id"], gap_hours * 3600)
+    # Files farther apart than the trip gap can share no trip: each run between such gaps is merged by itself.
+    d = stage(sessions.overall(d, "taken_at", ["id"], max(gap_hours, trip_gap_hours) * 3600, "run"), "event-files")
     dom = dominant(d, ["session"], "locality", ["taken_at", "id"], "locality").select("session", "locality")
-    where = d.select("session", "locality", "country", "region", "lat", "lon", "taken_at", "id")
-    about = where.join(dom, ["session", "locality"]).groupBy("session").agg(F.min_by(F.struct("country", "locality", "region", "lat", "lon"), F.struct("taken_at", "id")).alias("x"))
-    s = sessions.summary(d, ["session"], "taken_at").join(about, "session", "left").select("session", "started_at", "ended_at", "n", "x.*")
-    t = trips.merge(s.withColumn("_all", F.lit(0)), ["_all"], trip_gap_hours * 3600, ["country", "locality", "region", "lat", "lon"], same_trip(max_km)).drop("_all")
+    country = dominant(d, ["session"], "country", ["taken_at", "id"], "country").select("session", "country")
+    where = d.select("session", "locality", "region", "lat", "lon", "taken_at", "id")
+    about = where.join(dom, ["session", "locality"]).groupBy("session").agg(F.min_by(F.struct("locality", "region", "lat", "lon"), F.struct("taken_at", "id")).alias("x"))
+    s = sessions.summary(d, ["session", "run"], "taken_at").join(about, "session", "left").join(country, "session", "left").select("session", "run", "started_at", "ended_at", "n", "country", "x.*")
+    t = trips.merge(s, ["run"], trip_gap_hours * 3600, ["country", "locality", "region", "lat", "lon"], same_trip(max_km))
+    line = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    starts = t.groupBy("run").agg(F.max("trip").alias("n")).select("run", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
+    t = t.join(starts, "run").withColumn("trip", F.col("trip") + F.col("base"))
     members = d.join(t.select("session", "trip"), "session")
-    place = dominant(members, ["trip"], "place_name", ["taken_at", "id"], "place").select("trip", "place")
+    place = place_names(members)
     events = sessions.summary(members, ["trip"], "taken_at", least).join(place, "trip", "left")
     events = events.select(F.col("trip").cast("long").alias("id"), "started_at", "ended_at", F.col("place").alias("place_city"), span_name(F.col("started_at"), F.col("ended_at"), F.col("place")).alias("name"), F.lit(False).alias("name_is_manual"), F.lit("auto").alias("origin"))
     return events, members.join(events.select(F.col("id").alias("trip")), "trip", "left_semi").select(F.col("trip").cast("long").alias("event_id"), F.col("id").alias("file_id"))

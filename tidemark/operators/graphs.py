@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import hamming
-from tidemark.sources.tables import stage
+from tidemark.functions.geometry import bits, hamming
+from tidemark.operators.grouping import numbered
+from tidemark.sources.tables import stage, unstage
 
 
 def roots(clusters: DataFrame) -> DataFrame:
@@ -51,21 +54,40 @@ def person_files(clusters: DataFrame, faces: DataFrame) -> DataFrame:
     return real.join(named.withColumnRenamed("id", "cluster_id"), "cluster_id").select("file_id", "label", F.col("id").alias("face_id"), "root", "bbox")
 
 
+#: So many signatures in a bucket of equal blocks are compared with each other without a thought.
+_BUCKET = 64
+
+
+def _blocks(n: int, most: int) -> int:
+    """Into how many blocks 64 bits are cut. Two signatures within ``most`` bits agree in all blocks but ``most``: with
+    more blocks more bits are known to agree, and buckets stay small as the signatures grow in number."""
+    blocks = most + 1
+    while blocks < most + 3 and n > _BUCKET * 2 ** (64 * (blocks - most) / blocks):
+        blocks += 1
+    return blocks
+
+
 def _near_signatures(kinds: DataFrame, most: int) -> DataFrame:
-    """(s1, s2): distinct signatures of ``kinds`` (sig) within reach. The 64 bits are cut into ``most`` + 1 bands; by the
-    pigeonhole principle a pair within reach agrees in one."""
-    cut = [round(64 * k / (most + 1)) for k in range(most + 2)]
-    bits = kinds.withColumn("bits", F.concat(*[F.lpad(F.conv(F.substring("sig", 1 + 8 * w, 8), 16, 2), 32, "0") for w in (0, 1)]))
-    parts = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("bits", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(most + 1)])
-    banded = bits.select("sig", F.explode(parts).alias("band"))
+    """(s1, s2): signatures of ``kinds`` (sig, each once, written already) of equal length and within reach, s1 < s2."""
+    blocks = _blocks(kinds.count(), most)
+    bitted = kinds.withColumn("bits", bits(F.col("sig"))).withColumn("n", F.length("bits"))
+    at = lambda k: F.floor(F.col("n") * k / blocks).cast("int")
+    part = [F.col("bits").substr(at(k) + 1, at(k + 1) - at(k)) for k in range(blocks)]
+    keys = [F.concat_ws(":", F.col("n").cast("string"), F.lit(str(j)), *[part[k] for k in same]) for j, same in enumerate(combinations(range(blocks), blocks - most))]
+    banded = bitted.select("sig", F.explode(F.array(*keys)).alias("band"))
     x, y = banded.select(F.col("sig").alias("s1"), "band"), banded.select(F.col("sig").alias("s2"), "band")
     return x.join(y, "band").where("s1 < s2").where(hamming(F.col("s1"), F.col("s2")) <= most).select("s1", "s2").distinct()
 
 
+def _keyed(df: DataFrame, id_col: str, signature: str) -> DataFrame:
+    """(id, sig): lower-case signatures; null and empty ones are left out."""
+    return df.where(F.length(signature) > 0).select(F.col(id_col).alias("id"), F.lower(signature).alias("sig"))
+
+
 def near_pairs(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
-    """(a, b, distance): all pairs of 16-hex signatures at Hamming distance up to ``most``, a < b."""
-    keyed = df.where(F.length(signature) == 16).select(F.col(id_col).alias("id"), F.col(signature).alias("sig"))
-    kinds = keyed.select("sig").distinct()
+    """(a, b, distance): all pairs of hexadecimal signatures of one length at Hamming distance up to ``most``, a < b."""
+    keyed = stage(_keyed(df, id_col, signature), "signatures")
+    kinds = stage(keyed.select("sig").distinct(), "signatures")
     both = _near_signatures(kinds, most).union(kinds.select(F.col("sig").alias("s1"), F.col("sig").alias("s2")))
     a, b = keyed.select(F.col("id").alias("i"), F.col("sig").alias("s1")), keyed.select(F.col("id").alias("j"), F.col("sig").alias("s2"))
     pairs = both.join(a, "s1").join(b, "s2").where("s1 <> s2 OR i < j")
@@ -75,34 +97,44 @@ def near_pairs(df: DataFrame, id_col: str, signature: str, most: int) -> DataFra
 def near_edges(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
     """(a, b): edges with the components of :func:`near_pairs`, without the pairs among equal signatures: each row
     hangs on its signature's first row, and first rows on each other."""
-    keyed = df.where(F.length(signature) == 16).select(F.col(id_col).alias("id"), F.col(signature).alias("sig"))
-    heads = keyed.groupBy("sig").agg(F.min("id").alias("head"))
+    keyed = stage(_keyed(df, id_col, signature), "signatures")
+    heads = stage(keyed.groupBy("sig").agg(F.min("id").alias("head")), "signatures")
     x, y = heads.select(F.col("sig").alias("s1"), F.col("head").alias("a")), heads.select(F.col("sig").alias("s2"), F.col("head").alias("b"))
     between = _near_signatures(heads.select("sig"), most).join(x, "s1").join(y, "s2").select("a", "b")
     return between.union(keyed.join(heads, "sig").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
 
 
+def _sum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): least reachable id, by least neighbours and pointer jumping until nothing changes."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = stage(both, "edges")
-    comp = stage(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "components")
-    while True:
-        least = both.join(comp.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
-        nearer = comp.join(least, "id").select("id", F.least("component", "m").alias("component"))
-        jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = stage(nearer.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), "components")
-        if new.join(comp.withColumnRenamed("component", "was"), "id").where("component <> was").isEmpty():
-            return new
-        comp = new
+    """(id, component): least reachable id. Each round hangs every vertex's larger neighbours on its least one, then
+    the smaller ones, until all are stars; a round's edges are staged and the round before is deleted."""
+    high, low = F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
+    e = stage(edges.select(high, low).where("u > v").distinct(), "edges")
+    before = _sum(e)
+    while before[0]:
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        others = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stage(others.union(nearest.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
+        unstage(e)
+        e, after = new, _sum(new)
+        if after == before:
+            break
+        before = after
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
 def near_groups(df: DataFrame, id_col: str, signature: str, path: str, size: str, most: int) -> DataFrame:
     """(group_no, place, id): groups of at least two, numbered by first path from 1; within one the largest first, then path."""
-    comp = connected(near_edges(df, id_col, signature, most))
-    rows = df.select(F.col(id_col).alias("id"), F.col(path).alias("_path"), F.col(size).alias("_size")).join(comp, "id")
+    df = stage(df.select(F.col(id_col).alias("id"), F.col(signature).alias("sig"), F.col(path).alias("_path"), F.col(size).alias("_size")), "signatures")
+    comp = connected(near_edges(df, "id", "sig", most))
+    rows = df.select("id", "_path", "_size").join(comp, "id")
     w = Window.partitionBy("component")
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("_size"), "_path"))).withColumn("_first", F.min(F.struct("_path", "id")).over(w))
-    firsts = rows.select("component", "_first").distinct().withColumn("group_no", F.dense_rank().over(Window.orderBy("_first")))
-    return rows.drop("_first").join(firsts.select("component", "group_no"), "component").select("group_no", "place", "id")
-
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("_size"), "_path")))
+    firsts = numbered(rows.groupBy("component").agg(F.min(F.struct("_path", "id")).alias("_first")), ["_first"], "group_no")
+    return rows.join(firsts.select("component", F.col("group_no").cast("int").alias("group_no")), "component").select("group_no", "place", "id")

@@ -87,3 +87,19 @@ def carry_over(old: DataFrame, new: DataFrame, member: str, share_of: str = "old
     sizes = (old if share_of == "old" else new).groupBy(f"{share_of}_group").agg(F.count("*").alias("_size"))
     good = both.join(sizes, f"{share_of}_group").where(F.col("overlap") > at_least * F.col("_size"))
     return best_per_group(good, ["new_group"], [F.desc("overlap"), F.asc("old_group")]).select("new_group", "old_group", "overlap")
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "number", base: int = 0) -> DataFrame:
+    """``out``: the row's number by ``order`` from ``base`` + 1, without one partition that holds all rows.
+
+    Rows are dealt by ranges of ``order`` and written once, so that numbers do not change if a task is
+    repeated; the ranges' counts, a row each, tell where each one starts. Rows alike in ``order`` get
+    different numbers, in any order among them.
+    """
+    from tidemark.sources.tables import stage
+
+    dealt = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_at", within).join(starts, "_range").withColumn(out, F.lit(base) + F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Feature codes of cities (fixed values).
 CITY_CODES = ("PPLC", "PPLA", "PPLA2", "PPLA3", "PPLA4")
 #: A dimension up to this many rows goes to every task; a larger one is joined by grid cells.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -28,10 +28,11 @@ def nearest(points: DataFrame, places: DataFrame, lat: str = "lat", lon: str = "
     distinct = points.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
     if places.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return _by_cells(distinct, places, out)
-    rows = places.select("geonameid", "lat", "lon").orderBy("geonameid").collect()  # at most BROADCAST_ROWS
-    if not rows:
+    rows = places.select("geonameid", "lat", "lon").orderBy("geonameid").toArrow()  # at most BROADCAST_ROWS
+    if not rows.num_rows:
         return distinct.withColumn(out, F.lit(None).cast("long"))
-    sent = points.sparkSession.sparkContext.broadcast((np.array([r.geonameid for r in rows]), _unit(np.array([r.lat for r in rows]), np.array([r.lon for r in rows]))))
+    ids, lats, lons = (rows.column(k).to_numpy() for k in range(3))
+    sent = points.sparkSession.sparkContext.broadcast((ids, _unit(lats, lons)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, xyz = sent.value
@@ -45,26 +46,32 @@ def nearest(points: DataFrame, places: DataFrame, lat: str = "lat", lon: str = "
 
 
 def _by_cells(points: DataFrame, places: DataFrame, out: str, degrees: float = 1.0) -> DataFrame:
-    """Grid join: rings of cells around a point grow until a hit is nearer than the ring's inner edge."""
+    """Grid join: a point looks at the nine cells about it; where they hold nothing sure, at those of a grid four times as coarse.
+
+    A hit is sure if it is nearer than the edge of the nine cells. The coarsest grid has one cell.
+    """
     from tidemark.functions.geometry import haversine_km
     from tidemark.sources.tables import stage
 
-    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    grid = places.select("geonameid", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cell("lat").alias("cy"), cell("lon").alias("cx"))
-    left, found, reach = points, None, 1
-    while not left.isEmpty() and reach <= 512:
-        ring = left.select("lat", "lon", F.explode(F.sequence(cell("lat") - reach, cell("lat") + reach)).alias("cy")).select(
-            "lat", "lon", "cy", F.explode(F.sequence(cell("lon") - reach, cell("lon") + reach)).alias("x")
-        )
-        ring = ring.withColumn("cx", (F.pmod(F.col("x") + 180, F.lit(int(360 / degrees))) - 180).cast("int")).select("lat", "lon", "cy", "cx").distinct()
+    left, found = points, None
+    while not left.isEmpty():
+        whole = degrees >= 360
+        around = int(-(-360 // degrees))
+        cell = lambda c, low: F.floor((F.col(c) + low) / degrees).cast("int")  # noqa: E731, B023
+        grid = places.select("geonameid", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cell("lat", 90).alias("cy"), F.pmod(cell("lon", 180), F.lit(around)).alias("cx"))
+        about = lambda c, low: F.explode(F.sequence(cell(c, low) - 1, cell(c, low) + 1))  # noqa: E731, B023
+        ring = left.select("lat", "lon", about("lat", 90).alias("cy")).select("lat", "lon", "cy", about("lon", 180).alias("x"))
+        ring = ring.select("lat", "lon", "cy", F.pmod(F.col("x"), F.lit(around)).alias("cx")).distinct()
         d = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
         best = ring.join(grid, ["cy", "cx"]).withColumn("d", d).groupBy("lat", "lon").agg(F.min(F.struct("d", "geonameid")).alias("b"))
-        near_pole = F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat")) + reach * degrees))))
-        sure = F.col("b.d") <= reach * degrees * 111.0 * F.least(F.lit(1.0), near_pole)
-        done = stage(best.where(sure | F.lit(reach >= 256)).select("lat", "lon", F.col("b.geonameid").alias(out)), "nearest")
+        narrow = F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat")) + degrees))))
+        sure = F.col("b.d") <= degrees * 111.0 * narrow
+        done = stage(best.where(sure | F.lit(whole)).select("lat", "lon", F.col("b.geonameid").alias(out)), "nearest")
         found = done if found is None else found.union(done)
+        if whole:
+            break
         left = stage(left.join(done, ["lat", "lon"], "left_anti"), "nearest-left")
-        reach *= 4
+        degrees *= 4
     return found if found is not None else points.withColumn(out, F.lit(None).cast("long"))
 
 
@@ -96,3 +103,37 @@ def localized(ids: DataFrame, id_col: str, dims: dict[str, DataFrame], lang: str
 def region_key(cc: Column, admin1: Column) -> Column:
     """``cc.admin1``; null if either is missing."""
     return F.when((F.coalesce(cc, F.lit("")) != "") & (F.coalesce(admin1, F.lit("")) != ""), F.concat_ws(".", cc, admin1))
+
+
+def _proper(names: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Names that are no bare ids."""
+    return names.withColumn(name, F.when(F.col(name) != F.col(id_col).cast("string"), F.col(name)))
+
+
+def about_cities(ids: DataFrame, dims: dict[str, DataFrame], lang: str = "en", id_col: str = "city_geonameid") -> DataFrame:
+    """``ids`` plus lat, lon, region (its key), region_name, country_name of each place; null where the tables lack them.
+
+    ``dims``: places, names, admin1, countries. Names of regions and countries are never bare ids.
+    """
+    place = dims["places"].select(F.col("geonameid").alias(id_col), "lat", "lon", "cc", "admin1")
+    region = localized(dims["admin1"].select(F.col("geonameid").alias("_g"), "cc", "admin1"), "_g", dims, lang, "region_name")
+    land = localized(dims["countries"].select(F.col("geonameid").alias("_g"), "cc"), "_g", dims, lang, "country_name")
+    d = ids.join(place, id_col, "left").withColumn("region", region_key(F.col("cc"), F.col("admin1")))
+    d = d.join(_proper(region, "_g", "region_name").select("cc", "admin1", "region_name"), ["cc", "admin1"], "left")
+    return d.join(_proper(land, "_g", "country_name").select("cc", "country_name"), "cc", "left").drop("cc", "admin1")
+
+
+def country_codes(dims: dict[str, DataFrame], lang: str = "en") -> DataFrame:
+    """(folded, cc): countries by their names in ``lang``, without regard to case."""
+    from tidemark.functions.text import casefold
+
+    land = localized(dims["countries"].select(F.col("geonameid").alias("_g"), "cc"), "_g", dims, lang, "name")
+    return _proper(land, "_g", "name").where("name IS NOT NULL").select(casefold(F.col("name")).alias("folded"), "cc")
+
+
+def city_names(dims: dict[str, DataFrame], lang: str = "en") -> DataFrame:
+    """(folded, geonameid): cities, of each feature code that counts as one, by their names in ``lang``; homonyms are rows of their own."""
+    from tidemark.functions.text import casefold
+
+    cities = dims["places"].where(F.col("fcode").isin(*CITY_CODES)).select(F.col("geonameid").alias("_g"))
+    return localized(cities, "_g", dims, lang, "name").select(casefold(F.col("name")).alias("folded"), F.col("_g").alias("geonameid"))

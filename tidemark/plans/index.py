@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions.dates import cascade
 from tidemark.functions.text import basename, is_release
-from tidemark.operators.grouping import canonical_order, mark_duplicates
+from tidemark.operators.grouping import canonical_order, mark_duplicates, numbered
 from tidemark.schema import FILES, evolve
 from tidemark.sources import files as source
 from tidemark.sources import tables
@@ -32,12 +32,10 @@ def update_index(spark: SparkSession, old: DataFrame, roots: list[str], cfg: Con
             todo = todo.withColumn(part.split(" ")[0], F.lit(None).cast(part.split(" ")[1]))
     when = cascade(F.col("date_original"), basename(F.col("path")), F.col("mtime"), zone, cfg.dates.min_year, cfg.dates.max_year)
     film = (F.col("media_type") == "video") & is_release(basename(F.col("path")))
-    todo = todo.withColumn("_t", when).select(
-        "*", F.col("_t.taken_at").alias("taken_at"), F.col("_t.source").alias("taken_at_source"), F.col("_t.confidence").alias("taken_at_confidence"), film.alias("not_personal"), F.lit(now).alias("indexed_at")
-    )
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
-    todo = todo.crossJoin(top).withColumn("id", (F.col("top") + F.row_number().over(Window.orderBy("path"))).cast("long"))
-    done = tables.stage(evolve(todo, FILES), "indexed")
+    # The generator keeps the three fields from being computed one by one.
+    todo = todo.select("*", film.alias("not_personal"), F.lit(now).alias("indexed_at"), F.inline(F.array(when))).withColumnsRenamed({"source": "taken_at_source", "confidence": "taken_at_confidence"})
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
+    done = tables.stage(evolve(numbered(todo, ["path"], "id", top), FILES), "indexed")
     good = tables.upsert_files(evolve(old, FILES), done.where("error IS NULL"))
     return tables.upsert_errors(evolve(good, FILES), done.where("error IS NOT NULL").select("id", "path", "error", "indexed_at"))
 

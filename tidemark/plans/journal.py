@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import MOVES
 from tidemark.sources.files import content_hash
+from tidemark.sources.tables import stage
 
 
 @dataclass
@@ -21,6 +24,7 @@ class Report:
     done: int = 0
     failed: int = 0
     skipped: int = 0
+    deleted: int = 0
     missing: int = 0
 
 
@@ -88,26 +92,39 @@ def transfer(src: str, dst: str, operation: str = "move") -> None:
         os.unlink(src)
 
 
-def apply(ledger: Ledger, batch_id: int, plan: list[tuple[int, str, str, str | None]], operation: str = "move") -> Report:
-    """``plan``: (file_id, src, dst, hash). Every move is in the ledger as planned before the first file is touched.
+def apply(ledger: Ledger, batch_id: int, plan: Iterable[tuple], operation: str = "move", chunk: int = 5_000) -> Report:
+    """``plan``: (file_id, src, dst, hash) or, with a fifth field that is true, a file to delete.
 
-    A file whose content is not the indexed one any more fails; one already in place is passed over.
+    Moves are taken ``chunk`` by chunk, so a plan may be read from the cluster as it is carried out; every
+    move of a chunk is in the ledger as planned before its first file is touched. A file whose content is
+    not the indexed one any more fails; one already in place is passed over.
     """
-    todo = [(k, *p) for k, p in enumerate(plan, 1) if p[1] != p[2]]
-    report = Report(skipped=len(plan) - len(todo))
-    ledger.append([(k, batch_id, f, s, d, h, "planned") for k, f, s, d, h in todo])
-    after = []
-    for k, f, s, d, h in todo:
-        try:
-            if h is not None and content_hash(s) != h:
-                raise OSError(f"{s} has changed")
-            transfer(s, d, operation)
-            report.done += 1
-            after.append((k, batch_id, f, s, d, h, "done"))
-        except OSError:
-            report.failed += 1
-            after.append((k, batch_id, f, s, d, h, "failed"))
-    ledger.append(after)
+    report, rows, number = Report(), iter(plan), 0
+    while part := list(islice(rows, chunk)):
+        todo = []
+        for f, s, d, h, *delete in part:
+            if s == d and not any(delete):
+                report.skipped += 1
+                continue
+            number += 1
+            todo.append((number, f, s, d, h, any(delete)))
+        ledger.append([(k, batch_id, f, s, d, h, "planned") for k, f, s, d, h, _ in todo])
+        after = []
+        for k, f, s, d, h, delete in todo:
+            try:
+                if h is not None and content_hash(s) != h:
+                    raise OSError(f"{s} has changed")
+                if delete:
+                    os.unlink(s)
+                    report.deleted += 1
+                else:
+                    transfer(s, d, operation)
+                    report.done += 1
+                after.append((k, batch_id, f, s, d, h, "deleted" if delete else "done"))
+            except OSError:
+                report.failed += 1
+                after.append((k, batch_id, f, s, d, h, "failed"))
+        ledger.append(after)
     return report
 
 
@@ -120,14 +137,15 @@ def free_name(path: str) -> str:
     return cand
 
 
-def undo(ledger: Ledger, batch_id: int | None = None, operation: str = "move") -> Report:
-    """Take back the last batch with done moves, newest move first. A copy goes only if it is still what was copied;
-    a file that is gone stays done and counts as missing."""
+def undo(ledger: Ledger, batch_id: int | None = None, operation: str = "move", chunk: int = 5_000) -> Report:
+    """Take back the last batch with done moves, newest move first, read from the cluster as they are taken back. A copy
+    goes only if it is still what was copied; a file that is gone stays done and counts as missing."""
     batch_id = batch_id if batch_id is not None else ledger.last_batch()
     report, after = Report(), []
     if batch_id is None:
         return report
-    for r in ledger.latest().where((F.col("batch_id") == batch_id) & (F.col("status") == "done")).orderBy(F.desc("id")).collect():  # one user's batch
+    done = stage(ledger.latest().where((F.col("batch_id") == batch_id) & (F.col("status") == "done")), "undo")  # the ledger grows meanwhile
+    for r in done.orderBy(F.desc("id")).toLocalIterator():
         if not os.path.lexists(r.dst):
             report.missing += 1
             continue
@@ -143,5 +161,8 @@ def undo(ledger: Ledger, batch_id: int | None = None, operation: str = "move") -
             after.append((r.id, batch_id, r.file_id, r.src, r.dst, r.hash, "undone"))
         except OSError:
             report.failed += 1
+        if len(after) >= chunk:
+            ledger.append(after)
+            after = []
     ledger.append(after)
     return report

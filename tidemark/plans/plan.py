@@ -10,7 +10,8 @@ from tidemark.functions.dates import year_of
 from tidemark.functions.geometry import bbox_area
 from tidemark.functions.text import below, sanitize
 from tidemark.functions.words import country, folder
-from tidemark.operators.grouping import quality_order
+from tidemark.operators.grouping import numbered, quality_order
+from tidemark.sources.tables import stage
 
 MODES = ("city", "person", "event")
 NOT_ELIGIBLE = ("document", "junk", "not_personal", "dedup_delete")
@@ -95,8 +96,9 @@ def route(d: DataFrame, mode: str, multi_person: str = "primary", lang: str = "e
     return d.withColumn("parts", parts).withColumn("reason", reason)
 
 
-def near_dup_roles(planned: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, near_dup_group, near_dup_role): groups trimmed to eligible files, at least two left, the best one kept.
+def near_dup_roles(planned: DataFrame, groups: DataFrame, delete: bool = False) -> DataFrame:
+    """(id, near_dup_group, near_dup_role): groups trimmed to eligible files, at least two left; the best is ``kept``,
+    the others are ``moved`` or, with ``delete``, ``deleted``.
 
     ``groups``: (group_no, id). Numbers follow the order of the groups that are left.
     """
@@ -106,8 +108,17 @@ def near_dup_roles(planned: DataFrame, groups: DataFrame) -> DataFrame:
     kept = members.withColumn("n", F.count("*").over(w)).where("n >= 2")
     best = quality_order(F.col("width"), F.col("height"), F.col("size"), F.col("id"))
     ranked = kept.withColumn("r", F.row_number().over(w.orderBy(*best)))
-    numbers = ranked.select("group_no").distinct().withColumn("near_dup_group", F.row_number().over(Window.orderBy("group_no")))
-    return ranked.join(numbers, "group_no").select("id", "near_dup_group", F.when(F.col("r") == 1, "best").otherwise("duplicate").alias("near_dup_role"))
+    numbers = numbered(ranked.select("group_no").distinct(), ["group_no"], "near_dup_group")
+    role = F.when(F.col("r") == 1, "kept").otherwise("deleted" if delete else "moved")
+    return ranked.join(numbers, "group_no").select("id", F.col("near_dup_group").cast("int").alias("near_dup_group"), role.alias("near_dup_role"))
+
+
+def route_near_dups(routed: DataFrame, groups: DataFrame, lang: str = "en", delete: bool = False) -> DataFrame:
+    """Routed files with their near-duplicate roles; those that are not kept go to the folder of duplicates, and say so."""
+    d = routed.join(near_dup_roles(routed, groups, delete), "id", "left")
+    worse = F.coalesce(F.col("near_dup_role") != "kept", F.lit(False))
+    d = d.withColumn("parts", F.when(worse, F.array(F.lit(folder("duplicates", lang)))).otherwise(F.col("parts")))
+    return d.withColumn("reason", F.when(worse, F.lit("near_dup_delete" if delete else "near_dup")).otherwise(F.col("reason")))
 
 
 def assign_targets(d: DataFrame, folder_col: str = "folder", name: str = "name", order: str = "path", taken: DataFrame | None = None) -> DataFrame:
@@ -118,18 +129,21 @@ def assign_targets(d: DataFrame, folder_col: str = "folder", name: str = "name",
     a numbered name would meet another name leave the built-in functions.
     """
     d = d.withColumn("_want", F.concat_ws("/", folder_col, name)).withColumn("_home", F.col("path") == F.col("_want"))
-    home = d.where("_home").withColumn("target", F.col("path"))
-    away = d.where("NOT _home")
     stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    away = away.withColumn("_n", F.row_number().over(Window.partitionBy("_want").orderBy(order, "id")) - 1)
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_want", "_home").orderBy(order, "id")) - 1)
     numbered = F.concat(F.concat_ws("/", folder_col, stem), F.lit("_"), F.col("_n").cast("string"), ext)
-    away = away.withColumn("target", F.when(F.col("_n") == 0, F.col("_want")).otherwise(numbered))
+    d = d.withColumn("target", F.when(F.col("_home"), F.col("path")).when(F.col("_n") == 0, F.col("_want")).otherwise(numbered))
+    # Written once: what follows reads it several times, and what it was made from is a join of many tables.
+    d = stage(d, "plan-named")
+    home, away = d.where("_home"), d.where("NOT _home")
     # Folders where a numbered name meets a wanted one, or any name one on disk, are settled in order.
     clash = away.where("_n > 0").join(away.select(F.col("_want").alias("target")).distinct(), "target", "left_semi").select(folder_col)
     if taken is not None:
         on = taken.select(F.concat_ws("/", "folder", "name").alias("target"))
         clash = clash.union(away.join(on, "target", "left_semi").select(folder_col))
-    busy = clash.distinct()
+    busy = stage(clash.distinct(), "plan-busy")
+    if busy.isEmpty():
+        return d.drop("_want", "_home", "_n")
     calm = away.join(busy, folder_col, "left_anti")
     rows = away.join(busy, folder_col, "left_semi").select(F.col(folder_col).alias("folder"), F.col(name).alias("name"), F.col(order).alias("ord"), "id")
     listing = taken if taken is not None else d.sparkSession.createDataFrame([], "folder string, name string")
@@ -152,17 +166,16 @@ def assign_targets(d: DataFrame, folder_col: str = "folder", name: str = "name",
 
     settled = rows.groupBy("folder").cogroup(on_disk.groupBy("folder")).applyInPandas(settle, "id long, target string")
     crowded = away.drop("target").join(busy, folder_col, "left_semi").join(settled, "id")
-    return home.drop("_want", "_home").unionByName(calm.drop("_want", "_home", "_n")).unionByName(crowded.drop("_want", "_home", "_n"))
+    return home.drop("_want", "_home", "_n").unionByName(calm.drop("_want", "_home", "_n")).unionByName(crowded.drop("_want", "_home", "_n"))
 
 
-def plan(d: DataFrame, mode: str, root: str, groups: DataFrame | None = None, taken: DataFrame | None = None, **routing) -> DataFrame:
-    """The plan of assembled files: path, target, reason, near-duplicate role."""
+def plan(d: DataFrame, mode: str, root: str, groups: DataFrame | None = None, taken: DataFrame | None = None, delete_worse: bool = False, **routing) -> DataFrame:
+    """The plan of assembled files: path, target, reason; with ``groups`` near duplicates are routed to a folder of their own."""
     r = route(d, mode, **routing)
-    r = r.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("folder", F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join("parts", "/")))
-    r = assign_targets(r, taken=taken)
     if groups is not None:
-        r = r.join(near_dup_roles(r, groups), "id", "left")
-    return r
+        r = route_near_dups(r, groups, routing.get("lang", "en"), delete_worse)
+    r = r.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("folder", F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join("parts", "/")))
+    return assign_targets(r, taken=taken)
 
 
 def album(d: DataFrame, root: str, name: str, members: DataFrame, expressions: list[str] | None = None, names=None, move: bool = False, n_persons: DataFrame | None = None) -> DataFrame:

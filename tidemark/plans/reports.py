@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 import html
-import io
+import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import file_uri
 from tidemark.operators.graphs import roots
 from tidemark.operators.grouping import best_per_group, tree_counts
 from tidemark.schema import canonical
@@ -49,9 +51,43 @@ def set_choices(choice: DataFrame, picked: DataFrame) -> DataFrame:
     return choice.join(picked.select("file_id"), "file_id", "left_anti").unionByName(picked.where(F.col("action").isNotNull()))
 
 
-def geo_cell(country: Column, city: Column, lat: Column, lon: Column) -> Column:
-    place = F.concat_ws("/", country, city)
-    return F.when(place != "", place).when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.4f, %.4f", lat, lon)).otherwise("")
+#: Marks of uncertain dates, by confidence, and words for near-duplicate roles.
+CONFIDENCE_MARKS = {"low": "uncertain", "medium": "from name"}
+ROLE_MARKS = {"kept": "kept", "moved": "to duplicates", "deleted": "deleted"}
+
+
+def _mark(c: Column, marks: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]), c)
+
+
+def _dots(*cells: Column) -> Column:
+    """Cells that hold something, with dots between."""
+    return F.concat_ws(" \u00b7 ", *[F.nullif(c, F.lit("")) for c in cells])
+
+
+def date_cell(taken_at: Column, confidence: Column) -> Column:
+    """The day, with a mark if it is uncertain."""
+    mark = _mark(confidence, CONFIDENCE_MARKS)
+    day = F.date_format(taken_at, "yyyy-MM-dd")
+    return F.when(taken_at.isNull(), "no date").when(mark.isNotNull(), F.concat(day, F.lit(" ("), mark, F.lit(")"))).otherwise(day)
+
+
+def geo_cell(country: Column, city: Column, lat: Column, lon: Column, confidence: Column | None = None) -> Column:
+    """Place with its confidence, and position; empty without either."""
+    place = F.nullif(F.concat_ws("/", F.nullif(country, F.lit("")), F.nullif(city, F.lit(""))), F.lit(""))
+    if confidence is not None:
+        place = F.when(F.coalesce(confidence, F.lit("")) != "", F.concat(place, F.lit(" ("), confidence, F.lit(")"))).otherwise(place)
+    at = F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.4f, %.4f", lat, lon))
+    return _dots(place, at)
+
+
+def people_event_cell(persons: Column, event: Column) -> Column:
+    return _dots(F.array_join(persons, ", "), event)
+
+
+def category_cell(reason: Column, verdict: Column, role: Column) -> Column:
+    """The reason, the verdict behind junk and documents, the near-duplicate role."""
+    return _dots(reason, F.when(reason.isin("junk", "document"), verdict), _mark(role, ROLE_MARKS))
 
 
 def as_json(plan: DataFrame) -> DataFrame:
@@ -76,19 +112,73 @@ def write_plan_csv(plan: DataFrame, path: str) -> None:
             w.writerow(["" if x is None else x for x in r])
 
 
-def plan_tree_html(plan: DataFrame) -> str:
-    """Folders of the plan with the files below each, as nested lists. ``plan`` has ``parts``."""
-    tree = tree_counts(plan.withColumn("rel", F.array_join("parts", "/")), "rel").orderBy(F.split("prefix", "/"))
-    out, depth = io.StringIO(), 0
-    out.write("<!doctype html><meta charset=utf-8><title>plan</title>")
-    for r in tree.toLocalIterator():
-        while depth >= r.depth:
-            out.write("</details>")
+def _optional(d: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in d.columns else F.lit(None).cast(kind)
+
+
+def _tree(plan: DataFrame, files: bool) -> Iterator[str]:
+    """Nested lists, folder by folder, as rows come from the cluster in order of their paths."""
+    counts = tree_counts(plan.withColumn("rel", F.array_join("parts", "/")), "rel").select(F.split("prefix", "/").alias("at"), "n", F.lit("").alias("line"), F.lit(0).alias("kind"))
+    rows = counts
+    if files:
+        cells = [
+            F.regexp_replace("path", "^.*/", ""),
+            date_cell(_optional(plan, "taken_at", "timestamp_ntz"), _optional(plan, "taken_at_confidence")),
+            geo_cell(_optional(plan, "country"), _optional(plan, "city"), _optional(plan, "gps_lat", "double"), _optional(plan, "gps_lon", "double"), _optional(plan, "place_confidence")),
+            people_event_cell(_optional(plan, "persons", "array<string>"), _optional(plan, "event")),
+            category_cell(_optional(plan, "reason"), _optional(plan, "junk_verdict"), _optional(plan, "near_dup_role")),
+        ]
+        rows = counts.union(plan.select(F.col("parts").alias("at"), F.lit(0).cast("long"), F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in cells])), F.lit(1)))
+    depth = 0
+    for r in rows.orderBy("at", "kind", "line").toLocalIterator():
+        if r.kind:
+            yield "<p>" + " | ".join(html.escape(c) for c in json.loads(r.line)) + "</p>"
+            continue
+        while depth >= len(r.at):
+            yield "</details>"
             depth -= 1
-        out.write(f"<details><summary>{html.escape(r.prefix.rsplit('/', 1)[-1])} ({r.n})</summary>")
-        depth = r.depth
-    out.write("</details>" * depth)
-    return out.getvalue()
+        yield f"<details><summary>{html.escape(r.at[-1])} ({r.n})</summary>"
+        depth = len(r.at)
+    yield "</details>" * depth
+
+
+_HEAD = "<!doctype html><meta charset=utf-8><title>plan</title>"
+
+
+def plan_tree_html(plan: DataFrame) -> str:
+    """Folders of the plan with the number of files at and below each. ``plan`` has ``parts``."""
+    return _HEAD + "".join(_tree(plan, False))
+
+
+def near_dup_lines(plan: DataFrame) -> Iterator[str]:
+    """Near duplicates by group, the kept one first."""
+    if "near_dup_group" not in plan.columns:
+        return
+    own, group = plan.where("near_dup_group IS NOT NULL").withColumn("_o", (F.col("near_dup_role") != "kept").cast("int")), None
+    for r in own.orderBy("near_dup_group", "_o", "path").toLocalIterator():
+        if r.near_dup_group != group:
+            group = r.near_dup_group
+            yield f"<h3>Near duplicates {group}</h3>"
+        yield f"<p>{html.escape(r.path)} ({html.escape(ROLE_MARKS.get(r.near_dup_role, r.near_dup_role))})</p>"
+
+
+def write_plan_html(plan: DataFrame, path: str, root: str) -> None:
+    """Folders, files and near duplicates as one page, written row by row."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(_HEAD + f"<h1>{html.escape(root)}</h1>")
+        f.writelines(near_dup_lines(plan))
+        f.writelines(_tree(plan, True))
+
+
+def write_contact_sheet(sheet: DataFrame, path: str, title: str) -> int:
+    """The faces of :func:`contact_sheet` as a page of pictures; returns how many."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>")
+        for r in sheet.select("path", file_uri(F.col("path")).alias("uri"), "bbox").toLocalIterator():
+            n += 1
+            f.write(f'<figure><img loading=lazy width=200 src="{html.escape(r.uri)}"><figcaption>{html.escape(r.path)} {[round(x) for x in r.bbox or []]}</figcaption></figure>')
+    return n
 
 
 def index_report(plan: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +48,8 @@ def parse(expressions: list[str]) -> list[Term]:
 class Names:
     """How values bind: names of countries and cities in the user's language, and the tables behind person and event."""
 
-    country_codes: dict[str, str] = field(default_factory=dict)  # folded name -> code
-    city_ids: dict[str, list[int]] = field(default_factory=dict)  # folded name -> all cities of that name
+    country_codes: DataFrame | None = None  # (folded, cc), see nearest.country_codes
+    city_names: DataFrame | None = None  # (folded, geonameid), see nearest.city_names
     persons: DataFrame | None = None  # (file_id, label)
     events: DataFrame | None = None  # (file_id, name)
 
@@ -62,11 +62,16 @@ def apply(df: DataFrame, expressions: list[str], names: Names | None = None, id_
         if t.field == "year":
             df = df.where(_COMPARE[t.op](F.year("taken_at"), F.lit(int(t.value))))
         elif t.field == "country":
-            df = df.where(casefold(F.col("country")) == F.lit(names.country_codes.get(t.value.casefold(), t.value).casefold()))
+            named = names.country_codes.where(F.col("folded") == folded).first() if names.country_codes is not None else None
+            df = df.where(casefold(F.col("country")) == F.lit((named.cc if named else t.value).casefold()))
         elif t.field == "city":
             same = casefold(F.col("city")) == folded
-            ids = names.city_ids.get(t.value.casefold(), [])
-            df = df.where(F.col("city_geonameid").isin(ids) | same if ids else same)
+            if names.city_names is None:
+                df = df.where(same)
+                continue
+            # A mark for each city of that name: homonyms are joined, not listed.
+            hit = names.city_names.where(F.col("folded") == folded).select(F.col("geonameid").alias("city_geonameid"), F.lit(True).alias("_hit")).distinct()
+            df = df.join(hit, "city_geonameid", "left").where(F.col("_hit") | same).drop("_hit").select(*df.columns)
         else:
             side, key = (names.persons, "label") if t.field == "person" else (names.events, "name")
             if side is None:

@@ -17,30 +17,56 @@ from tidemark.functions.text import media_type
 SEEN = "path string, size long, mtime double, ext string"
 
 
+def _listed(root: str, cfg: Index, deep: bool = True) -> Iterator[tuple[str, int, float, str]]:
+    """Known files below a folder (or in it alone) in name order."""
+    known = {e for v in cfg.extensions.values() for e in v}
+    found = []
+    for folder, names, files in os.walk(root):
+        names[:] = [n for n in names if deep and not n.startswith(".") and n not in cfg.skip_dirs]
+        found += [os.path.join(folder, f) for f in files if not f.startswith(".") and f not in cfg.skip_dirs]
+    for path in sorted(found):
+        ext = os.path.splitext(path)[1].lower().lstrip(".")
+        try:
+            st = os.stat(path)
+        except OSError:
+            continue
+        if ext in known and os.path.isfile(path) and st.st_size >= cfg.min_file_size_kb * 1024:
+            yield path, st.st_size, st.st_mtime, ext
+
+
 def walk(roots: list[str], cfg: Index | None = None) -> Iterator[tuple[str, int, float, str]]:
     """Known files in name order: no hidden or skipped folder on the way, at least the least size. Spark's own listing
     would leave out names that begin with ``_``."""
-    cfg = cfg or Index()
-    known = {e for v in cfg.extensions.values() for e in v}
     for root in roots:
-        found = []
-        for folder, names, files in os.walk(root):
-            names[:] = [n for n in names if not n.startswith(".") and n not in cfg.skip_dirs]
-            found += [os.path.join(folder, f) for f in files if not f.startswith(".") and f not in cfg.skip_dirs]
-        for path in sorted(found):
-            ext = os.path.splitext(path)[1].lower().lstrip(".")
+        yield from _listed(root, cfg or Index())
+
+
+def _folders(roots: list[str], cfg: Index, enough: int) -> list[tuple[str, bool]]:
+    """Folders to list as a whole, and those above them to list without their folders: level by level until there are enough."""
+    level, above = list(roots), []
+    while level and len(level) < enough:
+        below = []
+        for folder in level:
             try:
-                st = os.stat(path)
+                below += [e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".") and e.name not in cfg.skip_dirs]
             except OSError:
                 continue
-            if ext in known and os.path.isfile(path) and st.st_size >= cfg.min_file_size_kb * 1024:
-                yield path, st.st_size, st.st_mtime, ext
+        above += level
+        level = below
+    return [(f, True) for f in level] + [(f, False) for f in above]
 
 
 def scan(spark: SparkSession, roots: list[str], cfg: Index | None = None, partitions: int = 8) -> DataFrame:
+    """All files that :func:`walk` finds. The driver looks at the upper folders only, until there is a folder for each task to walk."""
     cfg = cfg or Index()
-    df = spark.createDataFrame(list(walk(roots, cfg)), SEEN)
-    return df.withColumn("media_type", media_type(F.col("ext"), cfg.extensions)).repartition(partitions, "path")
+    folders = spark.createDataFrame(_folders(roots, cfg, 8 * partitions), "folder string, deep boolean").repartition(partitions, "folder")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder, deep in zip(b["folder"], b["deep"], strict=True):
+                yield pd.DataFrame(list(_listed(folder, cfg, deep)), columns=["path", "size", "mtime", "ext"])
+
+    return folders.mapInPandas(run, SEEN).withColumn("media_type", media_type(F.col("ext"), cfg.extensions))
 
 
 def content_hash(path: str, chunk: int = 1 << 20) -> str:
@@ -73,7 +99,7 @@ def with_hashes(files: DataFrame) -> DataFrame:
 def read_with(df: DataFrame, provider: Callable[[list[str]], list[dict[str, Any]]], schema: str, path: str = "path", size: int = 200) -> DataFrame:
     """One row per path from a provider of models or external readers, called on the tasks with lists of paths.
 
-    A provider that fails on a list is tried path by path; a path it fails on gives nulls.
+    A provider that fails on a list is tried path by path; a path it fails on gives nulls, and the reason in ``read_error``.
     """
     names = [p.strip().split(" ")[0] for p in schema.split(", ")]
 
@@ -89,11 +115,11 @@ def read_with(df: DataFrame, provider: Callable[[list[str]], list[dict[str, Any]
                     for p in part:
                         try:
                             rows += provider([p])
-                        except Exception:  # noqa: BLE001
-                            rows.append({})
-                yield pd.DataFrame([{path: p, **{n: r.get(n) for n in names}} for p, r in zip(part, rows, strict=True)], columns=[path, *names])
+                        except Exception as e:  # noqa: BLE001
+                            rows.append({"read_error": f"{type(e).__name__}: {e}"})
+                yield pd.DataFrame([{path: p, **{n: r.get(n) for n in names}, "read_error": r.get("read_error")} for p, r in zip(part, rows, strict=True)], columns=[path, *names, "read_error"])
 
-    return df.select(path).mapInPandas(run, f"{path} string, {schema}")
+    return df.select(path).mapInPandas(run, f"{path} string, {schema}, read_error string")
 
 
 EXIF_RECORD = "SourceFile string, DateTimeOriginal string, CreateDate string, GPSLatitude string, GPSLongitude string, GPSLatitudeRef string, GPSLongitudeRef string, Make string, Model string, ImageWidth string, ImageHeight string, Orientation string"
@@ -194,19 +220,94 @@ def landmark_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(r["prompt"], r["name"], r["country"], r["city"]) for r in rows], "prompt string, name string, country string, city string")
 
 
-def geocode_online(points: DataFrame, fetch: Callable[[float, float], dict[str, str]], digits: int = 3) -> DataFrame:
+#: Which part of an answer is the city, and which the district (fixed names, the first that is there counts).
+CITY_PARTS, DISTRICT_PARTS = ("city", "town", "village", "municipality"), ("suburb", "city_district", "neighbourhood", "quarter")
+GEOCODED = "lat_r double, lon_r double, country string, country_name string, city string, district_name string"
+
+
+def http_geocoder(address: str, agent: str, lang: str = "en", retries: int = 2, timeout: float = 10) -> Callable[[float, float], dict[str, str]]:
+    """A ``fetch`` for :func:`geocode_online` that asks a reverse geocoding service; a failed request is tried again."""
+    import json
+    import time
+    import urllib.parse
+    import urllib.request
+
+    def fetch(lat: float, lon: float) -> dict[str, str]:
+        query = urllib.parse.urlencode({"lat": lat, "lon": lon, "format": "jsonv2", "accept-language": lang})
+        for left in range(retries, -1, -1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(f"{address}?{query}", headers={"User-Agent": agent}), timeout=timeout) as answer:
+                    return json.load(answer).get("address") or {}
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(1.0)
+        return {}
+
+    return fetch
+
+
+def geocode_online(points: DataFrame, fetch: Callable[[float, float], dict[str, str]], digits: int = 3, known: DataFrame | None = None, interval: float = 0.0) -> DataFrame:
     """(lat_r, lon_r, country, country_name, city, district_name) for distinct rounded positions.
 
-    ``fetch`` is called on the driver, one request at a time as public services ask, and may fail for a position.
+    ``fetch`` is called on the driver, one request at a time and at least ``interval`` seconds apart, as
+    public services ask, and may fail for a position. Cells in ``known``, an earlier result, are not asked again.
     """
+    import time
+
     cells = points.select(F.bround("lat", digits).alias("lat_r"), F.bround("lon", digits).alias("lon_r")).where("lat_r IS NOT NULL AND lon_r IS NOT NULL").dropDuplicates()
-    first = lambda a, *keys: next((a[k] for k in keys if a.get(k)), None)
-    rows = []
-    for r in cells.toLocalIterator():
+    asked = cells if known is None else cells.join(known.select("lat_r", "lon_r"), ["lat_r", "lon_r"], "left_anti")
+    first = lambda a, keys: next((a[k] for k in keys if a.get(k)), None)
+    rows, last = [], None
+    for r in asked.toLocalIterator():
+        if last is not None and interval:
+            time.sleep(max(0.0, last + interval - time.monotonic()))
+        last = time.monotonic()
         try:
             a = fetch(r.lat_r, r.lon_r) or {}
         except Exception:  # noqa: BLE001  an unreachable service leaves the position unknown
             a = {}
         cc = (a.get("country_code") or "").upper() or None
-        rows.append((r.lat_r, r.lon_r, cc, a.get("country"), first(a, "city", "town", "village", "municipality"), first(a, "suburb", "city_district", "neighbourhood", "quarter")))
-    return points.sparkSession.createDataFrame(rows, "lat_r double, lon_r double, country string, country_name string, city string, district_name string")
+        rows.append((r.lat_r, r.lon_r, cc, a.get("country"), first(a, CITY_PARTS), first(a, DISTRICT_PARTS)))
+    new = points.sparkSession.createDataFrame(rows, GEOCODED)
+    return new if known is None else known.join(cells, ["lat_r", "lon_r"], "left_semi").unionByName(new)
+
+
+# --- tables for places from raw dumps -----------------------------------------------------------
+
+#: Columns of the dump of places that are kept, by their places in it (fixed).
+PLACE_COLUMNS = {"geonameid": 0, "lat": 4, "lon": 5, "fcode": 7, "cc": 8, "admin1": 10, "admin2": 11, "name_en": 2, "population": 14}
+
+
+def raw_lines(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """(at, f): fields of the lines that are no comments and have at least ``least``."""
+    text = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    return text.where(~F.col("value").startswith("#")).select("at", F.split("value", "\t", -1).alias("f")).where(F.size("f") >= least)
+
+
+def build_places(spark: SparkSession, path: str) -> DataFrame:
+    return raw_lines(spark, path, 15).select(*[F.get("f", F.lit(k)).alias(c) for c, k in PLACE_COLUMNS.items()])
+
+
+def build_admin1(spark: SparkSession, path: str) -> DataFrame:
+    """(cc, admin1, geonameid, name_en) from lines ``CC.code, name, ascii name, id``; codes without a dot are left out."""
+    code = F.split(F.get("f", F.lit(0)), r"\.", 2)
+    d = raw_lines(spark, path, 4).where(F.size(code) == 2)
+    return d.select(F.get(code, F.lit(0)).alias("cc"), F.get(code, F.lit(1)).alias("admin1"), F.get("f", F.lit(3)).alias("geonameid"), F.get("f", F.lit(2)).alias("name_en"))
+
+
+def build_countries(spark: SparkSession, path: str) -> DataFrame:
+    """(cc, geonameid, name_en) from the list of countries; rows without id are left out."""
+    d = raw_lines(spark, path, 17).select(F.get("f", F.lit(0)).alias("cc"), F.get("f", F.lit(16)).alias("geonameid"), F.get("f", F.lit(4)).alias("name_en"))
+    return d.where("geonameid <> ''")
+
+
+def build_names(spark: SparkSession, path: str, ids: DataFrame, langs: tuple[str, ...] = ("ru", "en", "ja")) -> DataFrame:
+    f = lambda k: F.get("f", F.lit(k))
+    raw = raw_lines(spark, path, 4).select("at", f(1).try_cast("long").alias("geonameid"), F.lower(f(2)).alias("lang"), f(3).alias("name"), F.coalesce(f(4) == "1", F.lit(False)).alias("preferred"))
+    return alternate_names(raw, ids, langs)
+
+
+def write_tsv(table: DataFrame, folder: str) -> None:
+    """Tab-separated text that the readers above read back."""
+    table.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]).alias("value")).write.mode("overwrite").text(folder)

@@ -10,20 +10,40 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below the one that driver and executors share; only a local master may leave that unset."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` in the shared folder and read it back: lineage ends there, and so do its shuffle files."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables; nothing may read them afterwards."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            fs, path = _fs(t.sparkSession, folder)
+            fs.delete(path, True)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -48,9 +48,11 @@ FEW = 6
 COMMON_IN_TASK, MOST_COMMON = 3, 1 << 18
 #: Hash classes of shingles whose parities are kept for each document, and pivots of a region by level.
 BITS, PIVOTS = 1024, (1, 4)
+#: Sets of more shingles than LONG get FINE classes too, as BITS of them say little about so many.
+LONG, FINE = 1000, 16384
 #: Members of a region that are asked whether cells would part them; where they would not, the region stays whole.
 PROBES = 3
-#: So many ids of texts, checked by a count, are sent to every task.
+#: So many pairs of vertices (two ids each), checked by a count, are sent to every task.
 _SENT = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -99,9 +101,9 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """For each of BITS hash classes, whether the set has an odd number of it: packed in longs."""
-    held = np.bincount((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+def parities(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each of ``bits`` hash classes, a power of two, whether the set has an odd number of it: packed in longs."""
+    held = np.bincount((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
     return np.packbits((held & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -140,8 +142,8 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (75, 100), words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, window, parity): each text's vertex and, for a task's first text of a vertex, its
-    regions' shingles in order and its parities. Texts without words have node null."""
+    """(doc_id, n_shingles, node, window, parity, fine): each text's vertex and, for a task's first text of a vertex, its
+    regions' shingles in order and its parities (fine ones of large sets). Texts without words have node null."""
     num, den = threshold
     order = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[order], (len(common) - order).astype(np.int64)))  # at most MOST_COMMON
@@ -153,7 +155,7 @@ def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (7
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                size, node, window, ends, parity = [], [], [], [0], []
+                size, node, window, ends, parity, fine = [], [], [], [0], [], []
                 for t in part.column(1):
                     s = shingler.set_of(t.as_py())
                     n = len(s)
@@ -168,16 +170,18 @@ def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (7
                             heavy = np.where(known[at] == s, rank[at], 0)
                             s = s[np.lexsort((s, heavy))] if heavy.any() else s
                         parity.append(parities(s))
+                        fine.append(parities(s, FINE) if n > LONG else None)
                         window.append(s[:p])
                         ends.append(ends[-1] + p)
                     else:
                         parity.append(None)
+                        fine.append(None)
                         ends.append(ends[-1])
                 flat = _signed(np.concatenate(window)) if window else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "window", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, *(pa.array(x, pa.list_(pa.int64())) for x in (parity, fine))], ["doc_id", "n_shingles", "node", "window", "parity", "fine"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>, parity array<long>, fine array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -209,18 +213,29 @@ def _cells(parity: Column, size: Column, pivots: Column, num: int, den: int) ->
     return F.transform(F.get(inside, F.lit(0)), lambda x: x["i"])
 
 
+def _possible(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (u, v) less those of two large sets that differ in too many of the fine classes. ``fine``: (node, size, fine)."""
+    side = lambda name, k: fine.select(F.col("node").alias(name), F.col("size").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
+    differ = F.aggregate(F.zip_with("f1", "f2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    far = (den + num) * differ > (den - num) * (F.col("n1") + F.col("n2"))
+    return pairs.join(side("u", 1), "u", "left").join(side("v", 2), "v", "left").where(~F.coalesce(far, F.lit(False))).select("u", "v")
+
+
 def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """The links among ``pairs`` (u, v), which are written already; full sets are made for their texts alone."""
+    small = pairs.count() <= _SENT  # then pairs and ids go to the texts; else texts are shuffled
+    sent = F.broadcast if small else lambda d: d
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    chosen = materialize(first.join(wanted, "node").select("node", "doc_id"), "jaccard-texts")
-    ids = chosen.select("doc_id").distinct()
-    few = chosen.count() <= _SENT  # then the ids go to the texts; else texts are shuffled
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts, words).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    chosen = materialize(first.join(sent(wanted), "node").select("node", "doc_id"), "jaccard-texts")
+    texts = docs.join(sent(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = materialize(shingle_sets(texts, words).join(sent(chosen.select("node")), "node", "left_semi"), "jaccard-sets")
+    made = sets
+    if sets.count() > chosen.count():  # ids that repeat
+        sets = sets.dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("s1")), sets.select(F.col("node").alias("v"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))
-    good = materialize(pairs.join(a, "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v"), "jaccard-links")
-    drop_table(docs.sparkSession, sets, chosen)
+    good = materialize(a.join(sent(pairs), "u").join(b, "v").where(den * both >= num * (F.size("s1") + F.size("s2") - both)).select("u", "v"), "jaccard-links")
+    drop_table(docs.sparkSession, made, chosen)
     return good
 
 
@@ -255,8 +270,9 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
     met = every.join(shared, "s").select("s", "many", "node", F.shiftright("where", 32).cast("int").alias("size"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     member = materialize(met.distinct(), "jaccard-members")
 
-    known = vertex.where("parity IS NOT NULL").select("node", "parity").join(member.select("node").distinct(), "node", "left_semi")
-    parity = materialize(known.dropDuplicates(["node"]), "jaccard-parities")
+    known = vertex.where("parity IS NOT NULL").select("node", F.col("n_shingles").alias("size"), "parity", "fine").join(member.select("node").distinct(), "node", "left_semi")
+    both = materialize(known.dropDuplicates(["node"]), "jaccard-parities")
+    parity, fine = both.select("node", "parity"), both.where("fine IS NOT NULL").select("node", "size", "fine")
     first = materialize(vertex.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "jaccard-firsts")
     rows = materialize(vertex.select("doc_id", "n_shingles", "node"), "jaccard-nodes")
     drop_table(spark, vertex)
@@ -301,13 +317,13 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
             largest = counts.groupBy("s", "cell").agg(F.max(F.struct("n", "c")).alias("b")).select("s", "cell", F.col("b.c").alias("big"))
             outside = named.join(largest, ["s", "cell"]).where("c <> big").select("s", "cell", *place, F.col("home").alias("chome"))
             pairs = named.join(outside, ["s", "cell"]).where("c <> cc AND (home OR chome)").where(near).where(apart).select(*ends)
-        pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "jaccard-pairs")
+        pairs = materialize(_possible((pairs if more is None else pairs.union(more)).distinct(), fine, num, den), "jaccard-pairs")
         more = None
         good = _verified(pairs, first, docs, num, den, words)
         drop_table(spark, pairs, *([] if n == 1 else [named]))
         stars = [] if comp is None else [comp.select(F.col("id").alias("u"), F.col("component").alias("v"))]
         comp = components(reduce(DataFrame.union, [good, *stars]), label="jaccard-components")
-    drop_table(spark, few, parity)
+    drop_table(spark, few, both)
     linked = first.join(comp, first["node"] == comp["id"], "left").select("node", "doc_id", "n_equal", F.coalesce("component", "node").alias("c"))
     smallest = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     classes = linked.join(smallest, "c").select("node", "component_id", "n_equal")

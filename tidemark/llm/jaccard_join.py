@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import drop_table, enter, id_text, materialize
+from tidemark.llm.shared import drop_table, enter, id_text, leave, materialize
 
 WORDS = 5
 #: Regions of so many members are joined pair by pair.
@@ -135,7 +135,10 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                         settle(COMMON_IN_TASK)
                         held = 0
         settle(COMMON_IN_TASK)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(tally), np.uint64))), pa.array(list(tally.values()), pa.int64())], ["s", "n"])
+        found = pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(tally), np.uint64))), pa.array(list(tally.values()), pa.int64())], ["s", "n"])
+        del shingler, seen, tally, waiting
+        yield found
+        leave()
 
     counts = docs.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MOST_COMMON)
     return counts.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)  # at most MOST_COMMON
@@ -180,6 +183,8 @@ def windows(docs: DataFrame, common: np.ndarray, threshold: tuple[int, int] = (7
                 flat = _signed(np.concatenate(window)) if window else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), lists, *(pa.array(x, pa.list_(pa.int64())) for x in (parity, fine))], ["doc_id", "n_shingles", "node", "window", "parity", "fine"])
+        del shingler, seen
+        leave()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, window array<long>, parity array<long>, fine array<long>")
 
@@ -188,6 +193,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, s) of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         shingler = Shingler(words)
         for b in batches:
             for k in range(0, b.num_rows, 512):
@@ -195,6 +201,8 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 flat = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "s"])
+        del shingler
+        leave()
 
     return docs.mapInArrow(run, "node long, s array<long>")
 

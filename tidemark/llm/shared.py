@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ def forget_with(clear: Callable[[], None]) -> None:
     _worker["forget"].append(clear)
 
 
+def leave() -> None:
+    """To be called as a task ends: a Python worker that waits for another one should hold little memory beside the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def enter(operator: str) -> None:
     """To be called as a task of ``operator`` begins: what other operators left in this worker goes back to the system.
 
@@ -68,9 +77,7 @@ def enter(operator: str) -> None:
     if _worker["operator"] not in (None, operator):
         for clear in _worker["forget"]:
             clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        leave()
     _worker["operator"] = operator
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import bits, hamming
@@ -94,35 +94,37 @@ def near_pairs(df: DataFrame, id_col: str, signature: str, most: int) -> DataFra
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("s1"), F.col("s2")).alias("distance"))
 
 
-def near_edges(df: DataFrame, id_col: str, signature: str, most: int) -> DataFrame:
+def near_edges(df: DataFrame, id_col: str, signature: str, most: int, written: bool = False) -> DataFrame:
     """(a, b): edges with the components of :func:`near_pairs`, without the pairs among equal signatures: each row
-    hangs on its signature's first row, and first rows on each other."""
-    keyed = stage(_keyed(df, id_col, signature), "signatures")
+    hangs on its signature's first row, and first rows on each other. ``written``: ``df`` costs nothing to read again."""
+    keyed = _keyed(df, id_col, signature) if written else stage(_keyed(df, id_col, signature), "signatures")
     heads = stage(keyed.groupBy("sig").agg(F.min("id").alias("head")), "signatures")
     x, y = heads.select(F.col("sig").alias("s1"), F.col("head").alias("a")), heads.select(F.col("sig").alias("s2"), F.col("head").alias("b"))
     between = _near_signatures(heads.select("sig"), most).join(x, "s1").join(y, "s2").select("a", "b")
     return between.union(keyed.join(heads, "sig").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, and what tells them from others: their number and a sum over them, taken as they are written."""
+    seen = Observation()
+    e = stage(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return e, (seen.get["n"], seen.get["x"])
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): least reachable id. Each round hangs every vertex's larger neighbours on its least one, then
     the smaller ones, until all are stars; a round's edges are staged and the round before is deleted."""
     high, low = F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
-    e = stage(edges.select(high, low).where("u > v").distinct(), "edges")
-    before = _sum(e)
+    e, before = _staged(edges.select(high, low).where("u > v").distinct())
     while before[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         others = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stage(others.union(nearest.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
+        new, after = _staged(others.union(nearest.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         unstage(e)
-        e, after = new, _sum(new)
+        e = new
         if after == before:
             break
         before = after
@@ -132,7 +134,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_groups(df: DataFrame, id_col: str, signature: str, path: str, size: str, most: int) -> DataFrame:
     """(group_no, place, id): groups of at least two, numbered by first path from 1; within one the largest first, then path."""
     df = stage(df.select(F.col(id_col).alias("id"), F.col(signature).alias("sig"), F.col(path).alias("_path"), F.col(size).alias("_size")), "signatures")
-    comp = connected(near_edges(df, "id", "sig", most))
+    comp = connected(near_edges(df, "id", "sig", most, written=True))
     rows = df.select("id", "_path", "_size").join(comp, "id")
     w = Window.partitionBy("component")
     rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("_size"), "_path")))

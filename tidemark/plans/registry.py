@@ -75,10 +75,13 @@ def _signatures(spark, d) -> DataFrame:
     """64-bit simhash of each canonical text: the sign of the sum of its words' hash bits."""
     docs = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"))
     words = docs.select("doc_id", "n_chars", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("w <> ''")
-    h = words.select("doc_id", "n_chars", *[F.conv(F.substring(F.md5("w"), 1 + 8 * k, 8), 16, 10).cast("long").alias(f"h{k}") for k in (0, 1)])
-    one = lambda i: F.sum(F.shiftright(F.col(f"h{i // 32}"), 31 - i % 32).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = h.groupBy("doc_id", "n_chars").agg(F.array(*[one(i) for i in range(64)]).alias("s"))
-    bits = F.array_join(F.transform("s", lambda x: F.when(x >= 0, "1").otherwise("0")), "")
+    half = lambda k: F.conv(F.substring(F.md5("w"), 1 + 8 * k, 8), 16, 10).cast("long")
+    h = words.select("doc_id", "n_chars", F.shiftleft(half(0), 32).bitwiseOR(half(1)).alias("h"))
+    # Two counters to a sum: bit k of either half, 32 bits apart. A document has fewer than 2^31 words.
+    two = lambda k: F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(0x100000001))).alias(f"s{k}")
+    sums = h.groupBy("doc_id", "n_chars").agg(F.count("*").alias("n"), *[two(k) for k in range(32)])
+    held = [F.shiftright(f"s{31 - i}", 32) for i in range(32)] + [F.col(f"s{31 - i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(32)]
+    bits = F.concat(*[F.when(2 * c >= F.col("n"), "1").otherwise("0") for c in held])
     hexa = F.concat(*[F.lpad(F.lower(F.conv(F.substring(bits, 1 + 32 * k, 32), 2, 16)), 8, "0") for k in (0, 1)])
     return sums.select("doc_id", "n_chars", hexa.alias("phash"), F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"))
 

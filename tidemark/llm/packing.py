@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.latin import LETTERS, NUMBERS, SPACES, is_plain
-from tidemark.llm.shared import enter, forget_with, id_text, materialize
+from tidemark.llm.shared import enter, forget_with, id_text, leave, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The split that lower-casing BPE vocabularies of this kind state in their files, over plain
@@ -113,6 +113,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
+        leave()
 
     return id_text(df, id_col, text_col).mapInArrow(run, PIECES)
 

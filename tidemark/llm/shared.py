@@ -33,22 +33,30 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and the JVM and the worker hold a batch each.
+_ROWS, _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 @contextlib.contextmanager
-def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
-    """Statements in this block delete their shuffle files as they end, not when the driver collects garbage."""
-    before = spark.conf.get(_CLEAN)
+def written(spark: SparkSession) -> Iterator[None]:
+    """For statements whose result is written: shuffle files are deleted as they end, not when the driver collects
+    garbage, and batches for Python workers are short."""
+    before = {k: spark.conf.get(k) for k in (_CLEAN, _ROWS)}
+    rows = int(before[_ROWS])
     spark.conf.set(_CLEAN, "true")
+    spark.conf.set(_ROWS, str(min(rows, _BATCH) if rows > 0 else _BATCH))
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage and shuffle files end there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage, shuffle files and large batches end there."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    with shuffles_end_here(spark):
+    with written(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

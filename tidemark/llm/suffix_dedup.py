@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import drop_table, enter, id_text, materialize
+from tidemark.llm.shared import drop_table, enter, id_text, leave, materialize
 
 LENGTH, GRAM = 100, 24
 #: Anchors with more occurrences are split by windows.
@@ -225,6 +225,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 part = b.slice(k, 1024)
                 rows, v, first, n = _runs_of_batch([t.as_py().encode("utf-8") for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), part.column(0).take(pa.array(rows)), pa.array(first * 128 + n)], ["v", "doc_id", "run"])
+        leave()
 
     return docs.mapInArrow(run, "v long, doc_id long, run long")
 
@@ -271,6 +272,8 @@ def _contexts(joined: DataFrame) -> DataFrame:
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["v", "doc_id", "first", "n", "context"])
+        del seen
+        leave()
 
     return joined.mapInArrow(run, "v long, doc_id long, first long, n long, context binary")
 
@@ -328,6 +331,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterato
     close_group()
     settle()
     yield flush()
+    leave()
 
 
 def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:

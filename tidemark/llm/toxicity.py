@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import drop_table, enter, materialize
+from tidemark.llm.shared import drop_table, enter, leave, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -192,6 +192,8 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         scorer = _Scorer(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
+        del scorer
+        leave()
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -225,6 +227,8 @@ def keep_below(documents: DataFrame, model: Model, threshold: float = 0.3, text_
         scorer = _Scorer(sent.value)
         for b in batches:
             yield b.filter(pa.array([scorer.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+        del scorer
+        leave()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -268,7 +268,8 @@ def test_counterfactual_sentences_change_their_scores_less(spark):
     rows, labels = [], []
     for i in range(600):
         bad = i % 3 == 0
-        words = rng.choices(filler, k=20) + (["moronic"] if bad and i % 2 else []) + (["muslims"] if bad else ["christians"] if i % 4 == 0 else [])
+        cause = [rng.choice(["moronic", "vile", "filthy"])] if bad and i % 10 else []
+        words = rng.choices(filler, k=20) + cause + (["muslims"] if bad and i % 5 else ["christians"] if i % 4 == 0 else ["jews"] if i % 7 == 0 else [])
         rng.shuffle(words)
         rows.append((i, " ".join(words) + "."))
         labels.append((i, int(bad)))
@@ -278,8 +279,8 @@ def test_counterfactual_sentences_change_their_scores_less(spark):
     plain, fair = (toxicity.fit(d, y, fairness=f) for f in (0.0, 10.0))
     flagged = [sum(m.score(t) >= 0.3 for t in neutral) for m in (plain, fair)]
     gap = [m.score("the muslims walk by the river") - m.score("the christians walk by the river") for m in (plain, fair)]
-    assert abs(gap[1]) < 0.5 * abs(gap[0]) and flagged[1] <= flagged[0]
-    assert fair.score("a moronic house") > 0.3
+    assert abs(gap[1]) < 0.5 * abs(gap[0]) and flagged[1] < flagged[0] > 0
+    assert fair.score("a moronic house") > 0.3 > fair.score("the muslims walk by the river")
 
 
 def test_empty_tables(spark):

@@ -356,7 +356,7 @@ def test_toxicity_learns_and_is_fair(spark):
     y = spark.createDataFrame([*labels, (5000, None)], "doc_id long, toxic int")
     model = toxicity.fit(d, y.where(~toxicity.held_out()))
     w = model.weights
-    assert abs(w.get("muslims", 0) - w.get("christians", 0)) < 1.0 and w["vile"] > 1
+    assert abs(model.score("the muslims walk by the river") - model.score("the christians walk by the river")) < 0.1 and w["vile"] > 1
     assert model.score("the muslims walk by the river") < 0.3 < model.score("a vile moronic house")
     got = {r.doc_id: r for r in toxicity.classify(d, y).collect()}
     assert len(got) == 402 and all(got[i].predicted == t for i, t in labels)

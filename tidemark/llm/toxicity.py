@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,12 +64,15 @@ def features(text: str) -> set[str]:
 
 
 def counterfactuals(text: str) -> list[tuple[str, str]]:
-    """(sentence, sentence with every group term swapped) of each sentence of the text that has one."""
+    """(sentence, sentence with every group term swapped) of each sentence of the text that has one.
+
+    A sentence's own hash tells which terms of the kind stand in, so that over many sentences all of them do.
+    """
     found = []
     for sentence in _SENTENCE.findall(text.lower()):
         if any(w in _KIND for w in _WORD.findall(sentence)):
-            by = 1 + len(found)
-            found.append((sentence, _WORD.sub(lambda m: swap(m[0], 1 + by % (len(_KIND[m[0]]) - 1)) if m[0] in _KIND else m[0], sentence)))
+            by = zlib.crc32(sentence.encode())
+            found.append((sentence, _WORD.sub(lambda m: swap(m[0], 1 + by % (len(_KIND[m[0]]) - 1)) if m[0] in _KIND else m[0], sentence)))  # noqa: B023
     return found
 
 

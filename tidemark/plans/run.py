@@ -75,10 +75,11 @@ def plan_and_sort(t: Tables, mode: str, root: str, folder: str, ledger: journal.
     return made, journal.apply(ledger, batch, (tuple(r) for r in rows.toLocalIterator()), operation)
 
 
-def moved_paths(files: DataFrame, ledger: journal.Ledger, batch_id: int) -> DataFrame:
-    """``files`` with the new paths of a batch's done moves."""
-    done = ledger.latest().where((F.col("batch_id") == batch_id) & (F.col("status") == "done")).select(F.col("file_id").alias("id"), F.col("dst").alias("_dst"))
-    return files.join(done, "id", "left").withColumn("path", F.coalesce("_dst", "path")).drop("_dst")
+def moved_paths(files: DataFrame, ledger: journal.Ledger, batch_id: int, back: bool = False) -> DataFrame:
+    """``files`` with the new paths of a batch's done moves, or with the old ones of those taken back."""
+    status, to = ("undone", "src") if back else ("done", "dst")
+    hit = ledger.latest().where((F.col("batch_id") == batch_id) & (F.col("status") == status)).select(F.col("file_id").alias("id"), F.col(to).alias("_to"))
+    return files.join(hit, "id", "left").withColumn("path", F.coalesce("_to", "path")).drop("_to")
 
 
 def counters(made: DataFrame, root: str) -> DataFrame:

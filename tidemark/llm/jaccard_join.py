@@ -310,9 +310,11 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
                 copies = F.transform(F.slice("all", n + 1, PROBES), lambda q: F.size(_cells(q["parity"], q["size"], F.col("ps"), num, den)))
                 chosen = chosen.withColumn("parts", F.aggregate(copies, F.lit(0), lambda t, k: t + k) <= PROBES * n / 2)
             beside = named.join(chosen.drop("all"), ["s", "cell"])
-            met = beside.select(*whole, F.explode("ps").alias("p"))
-            met = met.select(*whole, *[F.col(f"p.{c}").alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")])
-            pairs = met.where("c <> cc").where(near).where(apart).select(*ends)
+            size = lambda p: F.col("size") + p["size"]
+            close = lambda p: (den + num) * F.least(F.col("size") - F.col("place"), p["size"] - p["place"]) >= num * size(p)
+            linked = lambda p: (p["c"] != F.col("c")) & close(p) & ((den + num) * _apart("parity", p["parity"]) <= (den - num) * size(p))
+            met = beside.select("node", F.explode(F.filter("ps", linked)).alias("p"))
+            pairs = met.select("node", F.col("p.node").alias("cnode")).select(*ends)
             kept = ["s", "node", "size", "place", "parity"]
             if n > 1:
                 split = beside.where("parts").select(*kept, "cell", "home", F.posexplode(_cells(F.col("parity"), F.col("size"), F.col("ps"), num, den)).alias("nth", "i"))

@@ -58,6 +58,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(spark, label)
     with written(spark):
         df.write.parquet(path)
+    gc.collect()  # plans that Python holds on to are held in the JVM as well
     return spark.read.schema(df.schema).parquet(path)
 
 

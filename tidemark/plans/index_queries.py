@@ -175,18 +175,18 @@ def event_orphans(spark, d):
 
 
 def _located(spark, d) -> DataFrame:
-    """Events of one user as dated files with places: cities of two regions and a country."""
+    """Events as dated files with places: cities of two regions and a country."""
     k = F.col("event_id")
     city = k % 5
-    return table(spark, d, "events").where(F.col("user_id") % 5 == 0).select(
+    return table(spark, d, "events").select(
         k.alias("id"), F.col("ts").cast("timestamp_ntz").alias("taken_at"), F.when(k % 17 == 0, "low").otherwise("high").alias("taken_at_confidence"), F.when(k % 19 == 0, k - 1).alias("dup_of"), F.lit(None).cast("string").alias("error"),
         F.lit("XX").alias("country"), F.when(city < 4, F.concat(F.lit("i:"), city.cast("string"))).alias("locality"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
         F.when(city < 4, F.concat(F.lit("City "), city.cast("string"))).alias("place_name"), F.when(city < 2, "North").alias("region_name"), F.lit("Land").alias("country_name"),
     )
 
 
-_EVENTS = f"""WITH f AS (SELECT event_id AS id, ts, event_id % 5 AS c FROM events WHERE user_id % 5 = 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0),
-g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, id) <= INTERVAL '20 minutes' THEN 0 ELSE 1 END AS new FROM f),
+_EVENTS = f"""WITH f AS (SELECT event_id AS id, ts, event_id % 5 AS c FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, id) <= INTERVAL '5 minutes' THEN 0 ELSE 1 END AS new FROM f),
 s AS (SELECT *, sum(new) OVER (ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS no FROM g),
 n AS (SELECT no, c, count(*) AS n, min((ts, id)) AS first FROM s WHERE c < 4 GROUP BY ALL),
 m AS (SELECT no, c, row_number() OVER (PARTITION BY no ORDER BY n DESC, first) AS r, count(*) OVER (PARTITION BY no) AS kinds FROM n),
@@ -198,7 +198,7 @@ strftime(a, '%Y-%m-%d') || CASE WHEN CAST(a AS DATE) = CAST(z AS DATE) THEN '' W
 
 @query(_EVENTS)
 def events_built(spark, d):
-    ev, _ = events.build(_located(spark, d), 20 / 60, 0, 3, 0)
+    ev, _ = events.build(_located(spark, d), 5 / 60, 0, 3, 0)
     return ev.select(iso("started_at").alias("started_at"), iso("ended_at").alias("ended_at"), "place_city", "name")
 
 
@@ -227,12 +227,12 @@ def named_events(spark, d):
     return names.name_events(ev, names.by_template(ev))[0].select("id", "name")
 
 
-@query("SELECT l_orderkey AS id, 1 + l_suppkey % 3 AS cluster_id FROM lineitem WHERE false UNION ALL SELECT vec_id, 1 + CAST(vec_id % 3 AS BIGINT) FROM embeddings WHERE vec_id < 90")
+@query("SELECT vec_id AS id, 1 + CAST(vec_id % 3 AS BIGINT) AS cluster_id FROM embeddings")
 def density_clusters(spark, d):
     """Three tight bundles of directions, numbered by their first face."""
     k = F.col("vec_id")
     axis = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == k % 3, 1.0).otherwise(0.01 * F.sin(k * (i + 1))).cast("float"))
-    f = table(spark, d, "embeddings").where("vec_id < 90").select(k.alias("id"), k.alias("file_id"), F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)]).alias("bbox"), axis.alias("embedding"))
+    f = table(spark, d, "embeddings").select(k.alias("id"), k.alias("file_id"), F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)]).alias("bbox"), axis.alias("embedding"))
     return clusters.cluster_faces(f, 5, 0.5, 8).select("id", "cluster_id")
 
 

@@ -247,11 +247,9 @@ def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, num: int, den
     return good
 
 
-def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of the cells (s, cell) that lie in several components, with ``c``, theirs."""
-    named = members.withColumn("c", F.col("node"))
-    if comp is not None:
-        named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     several = named.groupBy("s", "cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("home").alias("homes")).where("lo < hi AND homes")
     return named.join(several.select("s", "cell"), ["s", "cell"])
 
@@ -299,8 +297,11 @@ def link_classes(documents: DataFrame, threshold: tuple[int, int] = (75, 100), w
 
     comp, more = None, few
     for n in (*pivots, 0):
-        named, before = materialize(_open(left, comp), "jaccard-open"), left
-        drop_table(spark, before)
+        if comp is None:  # all are open
+            named = left.withColumn("c", F.col("node"))
+        else:
+            named, before = materialize(_open(left, comp), "jaccard-open"), left
+            drop_table(spark, before)
         place = [F.col(c).alias(f"c{c}") for c in ("node", "size", "place", "parity", "c")]
         if n:
             whole = [F.col(c) for c in ("node", "size", "place", "parity", "c")]

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_automaton, jaccard_join, license_scan, line_dedup, ogg_column, packing, suffix_dedup, toxicity, voronoi_knn, warc_index
 from tidemark.llm.components import components
@@ -201,6 +202,39 @@ def test_line_dedup_of_chains(spark):
     assert sum(got.get(at) == keeper for at, keeper in want.items()) >= 196
 
 
+def test_line_dedup_sketches_rule_out_no_link(spark):
+    rng = random.Random(21)
+    word = lambda k=6: "".join(rng.choices("abcdefghij", k=k))
+    texts, passage = [], " ".join(word() for _ in range(40))
+    for n in (1, 3, 20, 80, 400):
+        line = [word() for _ in range(n)]
+        for share in (0, 0.01, 0.02, 0.03, 0.05, 0.2):
+            texts.append(" ".join(w if rng.random() >= share else word() for w in line))
+        texts.append(passage + " " + " ".join(line))
+    texts += ["ab" * 90, "ab" * 70 + "cd" * 20, "ab" * 88 + "zz"]
+    codes = spark.createDataFrame(list(enumerate(texts)), "node long, line string").select("node", line_dedup.coded(F.col("line")).alias("code"))
+    one = line_dedup.sketches(codes)
+    other = one.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
+    kept = {(r.node, r.centre) for r in one.join(other, F.col("node") > F.col("centre")).where(line_dedup._possible(0.75)).collect()}
+    sets = [windows12(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    linked = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(linked) >= 30 and linked <= kept and len(kept) < len(pairs) / 3
+    got = {(r.node, r.centre) for r in line_dedup._matching(one.join(other, F.col("node") > F.col("centre")).select("node", "centre"), codes, 0.75).collect()}
+    assert got == linked
+
+
+def test_line_dedup_of_a_passage_makes_few_pairs(spark, monkeypatch):
+    """Lines that share a passage but are not alike are never joined with each other's text."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(30))
+    texts = [passage + " " + " ".join(word() for _ in range(40)) for _ in range(300)]
+    verified, match = [], line_dedup._matching
+    monkeypatch.setattr(line_dedup, "_matching", lambda pairs, *more: verified.append(pairs.count()) or match(pairs, *more))
+    assert removed_by_spark(spark, texts) == {} and sum(verified) <= 10
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

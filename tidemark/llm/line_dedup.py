@@ -12,8 +12,9 @@ smallest line; where that leaves several components, all others, matched or not,
 pair by pair if they are at most ``FEW``. The lines of more crowded bands meet in regions instead,
 those of their rarest windows, which bring together every linked pair among them (exact, see
 ``_regions``); lines that only share a passage do not meet there. Links merge components, and
-pairs within one component are not compared again. Pairs whose full signatures agree in fewer
-than ``AGREE`` bins are not verified; at an index of 0.75 that happens to 0.4 % of pairs.
+pairs within one component are not compared again. Before texts are joined, pairs are ruled out by
+sketches of the lines, which bound the windows that only one of two lines has (exact, see
+``_possible``), so that lines that merely share a passage make no rows.
 
 A pair counts as a link only if the exact Jaccard index of the sets of all windows is at least
 ``threshold``. Union-find joins the links and one line per component stays: the first by
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.shared import drop_table, materialize
 
-SHINGLE, BINS, FEW, AGREE = 12, 8, 16, 3
+SHINGLE, BINS, FEW = 12, 8, 16
+#: Longs of a line's sketch: a bit for each hash class of windows.
+LONGS = 16
 #: Hashes are kept up to this many a bin and line on average.
 _DEPTH = 8
 _NO_ID = -(1 << 63)
@@ -57,8 +60,8 @@ def starts(code: Column) -> Column:
 
 
 def windows(code: Column) -> Column:
-    """The hashes of all windows. ``code`` must be a column that is computed already."""
-    return F.transform(starts(code), lambda i: window_at(code, i))
+    """The hashes of all windows. As a lambda's variable ``code`` is not copied for each of them, as a column's bytes are."""
+    return F.get(F.transform(F.array(code), lambda c: F.transform(starts(c), lambda i: window_at(c, i))), F.lit(0))
 
 
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,9 +92,19 @@ def _band() -> Column:
     return F.xxhash64(F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(2))))
 
 
-def _alike(a: str, b: str) -> Column:
-    """Whether two signatures agree in enough bins; lines with an empty bin always do."""
-    return (F.size(F.array_intersect(a, b)) >= AGREE) | (F.size(a) < BINS) | (F.size(b) < BINS)
+def sketches(codes: DataFrame) -> DataFrame:
+    """(node, most, held): how many windows (equal ones too), and a bit for each of 64 * LONGS hash classes that has one."""
+    each = codes.select("node", "code", F.explode(starts(F.col("code"))).alias("i")).select("node", window_at(F.col("code"), F.col("i")).alias("s"))
+    long, bit = F.shiftrightunsigned("s", 64 - LONGS.bit_length() + 1), F.expr("shiftleft(1L, cast(s & 63 AS INT))")
+    found = each.groupBy("node").agg(F.count("*").cast("int").alias("most"), *[F.bit_or(F.when(long == k, bit)).alias(f"h{k}") for k in range(LONGS)])
+    return found.select("node", "most", F.array(*[F.coalesce(f"h{k}", F.lit(0).cast("long")) for k in range(LONGS)]).alias("held"))
+
+
+def _possible(threshold: float) -> Column:
+    """Whether the sketches (most, held) and (cmost, cheld) allow a link: a class that one line has and the other lacks is a
+    window that only one has, and linked lines have (1 - threshold) / (1 + threshold) of their sizes of those at most."""
+    differ = [F.bit_count(F.get("held", F.lit(k)).bitwiseXOR(F.get("cheld", F.lit(k)))) for k in range(LONGS)]
+    return (1 + threshold) * sum(differ[1:], differ[0]) <= (1 - threshold) * (F.col("most") + F.col("cmost")) + 1e-6
 
 
 def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
@@ -107,30 +120,31 @@ def _edges(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("node"), F.col("component").alias("centre"))
 
 
-def _open(members: DataFrame, comp: DataFrame, key: str) -> DataFrame:
-    """``members`` of the groups by ``key`` that lie in several components, with ``c``, theirs, and ``n_in``, the group's size."""
-    named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    several = named.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in")).where("lo < hi")
-    return named.join(several.select(key, "n_in"), key)
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """``members`` of the groups by ``key`` that lie in several components ``c``, with ``n_in``, the group's size."""
+    several = members.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in")).where("lo < hi")
+    return members.join(several.select(key, "n_in"), key)
+
+
+def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``nodes`` with ``c``, their components. One row a line is joined; its bands or regions are exploded after that."""
+    return nodes.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
 def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """(s, node, size, place): the first windows of every line, rare ones first, that a partner cannot all lack.
+    """(node, size, alone, first): the first windows of every line, rare ones first, that a partner cannot all lack.
 
     A line of n different windows shares at least threshold * n of them with any line it is linked
     to, so the first that two linked lines share is among the first n - ceil(threshold * n) + 1 of both.
     """
-    each = codes.join(nodes, "node", "left_semi").select("node", "code", F.explode(starts(F.col("code"))).alias("i"))
-    own = each.select("node", window_at(F.col("code"), F.col("i")).alias("s")).distinct()
-    own = materialize(own, "line-windows")
-    size = own.groupBy("node").agg(F.count("*").cast("int").alias("size"))
+    own = codes.join(nodes, "node", "left_semi").select("node", F.array_distinct(windows(F.col("code"))).alias("all"))
+    own = materialize(own.select("node", F.size("all").alias("size"), F.explode("all").alias("s")), "line-windows")
     shared = own.groupBy("s").agg(F.count("*").cast("int").alias("m")).where("m > 1")
-    ordered = own.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
+    ordered = own.join(shared, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
     # Windows that no other line has come first; they are counted, not kept.
     alone = F.col("size") - F.size("o")
     first = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone))
-    placed = ordered.join(size, "node").select("node", "size", alone.alias("alone"), F.posexplode(first).alias("nth", "w"))
-    out = materialize(placed.select(F.col("w.s").alias("s"), "node", "size", (F.col("alone") + F.col("nth")).alias("place")), "line-regions")
+    out = materialize(ordered.select("node", "size", alone.alias("alone"), F.transform(first, lambda w: w["s"]).alias("first")), "line-regions")
     drop_table(nodes.sparkSession, own)
     return out
 
@@ -147,42 +161,52 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     drop_table(spark, star)
 
     # The lines in such bands, from one document that holds the line.
-    wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi"), "line-wanted")
+    wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "line-wanted")
     drop_table(spark, once)
-    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted.select("node", "doc_id").hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
+    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
     codes = materialize(texts.select("node", "line").dropDuplicates(["node"]).select("node", coded(F.col("line")).alias("code")), "line-codes")
-    signed = wanted.select("node", "minima")
-    side = signed.select(F.col("node").alias("centre"), F.col("minima").alias("own"))
+    drop_table(spark, wanted)
+    sketch = materialize(sketches(codes), "line-sketches")
+    side = sketch.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
+    able = _possible(threshold)
 
-    spokes = member.where("node > centre").select("node", "centre").distinct()
-    spokes = spokes.join(signed, "node").join(side, "centre").where(_alike("minima", "own")).select("node", "centre")
+    spokes = member.where("node > centre").groupBy("node").agg(F.collect_set("centre").alias("centres")).join(sketch, "node")  # a few a line
+    spokes = spokes.select("node", "most", "held", F.explode("centres").alias("centre")).join(side, "centre").where(able).select("node", "centre")
     good = materialize(_matching(spokes, codes, threshold), "line-links")
     comp = components(good, "node", "centre", label="line-components")
 
     # Lines that match the centre stay, as others may only match them; pairs with the centre are done.
-    rest = materialize(_open(member.where("n > 2 AND node > centre").select("band", "node"), comp, "band"), "line-rest")
+    bands = _named(member.where("n > 2 AND node > centre").groupBy("node").agg(F.collect_set("band").alias("bands")), comp)
+    rest = materialize(_open(bands.select("node", "c", F.explode("bands").alias("band")), "band"), "line-rest")
     drop_table(spark, member)
-    few = rest.where(F.col("n_in") <= FEW).join(signed, "node")
-    other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"), F.col("minima").alias("own"))
-    pairs = few.join(other, "band").where("node > centre AND c <> cc").where(_alike("minima", "own")).select("node", "centre")
-    region = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
-    near = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize"))
+    few = rest.where(F.col("n_in") <= FEW).groupBy("node", "c").agg(F.collect_set("band").alias("bands")).join(sketch, "node")
+    few = few.select("node", "c", "most", "held", F.explode("bands").alias("band"))
+    other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
+    pairs = few.join(other, "band").where("node > centre AND c <> cc").where(able).select("node", "centre")
+    regions = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
+    near = able & ((1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize")) - 1e-6)
     ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
-    sides = [F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc")]
+    sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "c", "most", "held")]
+
+    def opened(comp: DataFrame) -> DataFrame:
+        """The members (s, node, place ...) of the regions that lie in several components."""
+        each = _named(regions, comp).join(sketch, "node").select("node", "size", "alone", "c", "most", "held", F.posexplode("first").alias("nth", "s"))
+        return materialize(_open(each.select("s", "node", "size", (F.col("alone") + F.col("nth")).alias("place"), "c", "most", "held"), "s"), "line-open")
 
     # In each region one line is compared with all, then whoever is in none of its large component.
-    named = _open(region, comp, "s")
-    pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c")).alias("p")).select("s", "p.*")
+    named = opened(comp)
+    pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c", "most", "held")).alias("p")).select("s", "p.*")
     hung = named.join(pivot.select("s", F.col("node").alias("centre"), *sides), "s").where("c <> cc").where(near).select(*ends)
     more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
+    drop_table(spark, named)
     comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
 
-    named = materialize(_open(region, comp, "s"), "line-open")
+    named = opened(comp)
     counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
     largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
     outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
     last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), codes, threshold), "line-links")
-    drop_table(spark, wanted, codes, rest, region, named)
+    drop_table(spark, codes, sketch, rest, regions, named)
     return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 

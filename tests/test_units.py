@@ -154,6 +154,15 @@ def test_density_clusters(spark):
     assert [tuple(r) for r in clusters.inherit_labels(c, old).collect()] == [(1, "Ann")]
 
 
+def test_density_clusters_of_many(spark):
+    """More vectors than the 50,000 that were allowed once: two bundles, one cluster each."""
+    k = F.col("id")
+    v = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == k % 2, 1.0).otherwise(0.01 * F.sin(k * (i + 1))))
+    faces = spark.range(50_001).select("id", F.array(*[F.lit(0.0)] * 4).alias("bbox"), v.alias("embedding"))
+    c = clusters.cluster_faces(faces, width=3)
+    assert c.count() == 50_001 and c.where("cluster_id IS NULL OR cluster_id <> 1 + id % 2").count() == 0
+
+
 def test_targets_skip_natural_names_and_disk(spark):
     rows = [(1, "/s/1/a.jpg"), (2, "/s/2/a.jpg"), (3, "/s/3/a_1.jpg"), (4, "/s/4/a.jpg"), (5, "/s/5/b.jpg"), (6, "/t/c.jpg"), (7, "/s/7/c.jpg")]
     d = spark.createDataFrame([(i, p, "/t", p.rsplit("/", 1)[1]) for i, p in rows], "id long, path string, folder string, name string")

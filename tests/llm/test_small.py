@@ -235,6 +235,43 @@ def test_line_dedup_of_a_passage_makes_few_pairs(spark, monkeypatch):
     assert removed_by_spark(spark, texts) == {} and sum(verified) <= 10
 
 
+def near_copies():
+    """Copies of two lines with words changed, linked with some of the others only, and parts of the lines."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(2):
+        line = [word() for _ in range(70)]
+        for k in range(120):
+            changed = set(rng.sample(range(70), rng.randrange(1, 6)))
+            texts.append(" ".join(word() if i in changed else w for i, w in enumerate(line)))
+        texts += [" ".join(line[: 45 + k]) for k in range(0, 20, 2)]
+    return texts
+
+
+def test_line_dedup_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Lines of one large group meet in all the windows they share; what is not linked is ruled out before texts are joined."""
+    texts = near_copies()
+    verified, match = [], line_dedup._matching
+    monkeypatch.setattr(line_dedup, "_matching", lambda pairs, *more: verified.append(pairs.count()) or match(pairs, *more))
+    want = brute_removed(texts)
+    assert len(want) > 150 and removed_by_spark(spark, texts) == want
+    assert sum(verified) <= 2000
+
+
+def test_line_dedup_parities_rule_out_no_link(spark):
+    texts = near_copies()[::3] + ["ab" * 90, "ab" * 70 + "cd" * 20, "ab" * 88 + "zz"]
+    sets = [windows12(t) for t in texts]
+    codes = spark.createDataFrame(list(enumerate(texts)), "node long, line string").select("node", line_dedup.coded(F.col("line")).alias("code"))
+    one = line_dedup.parities(codes.select("node", F.explode(F.array_distinct(line_dedup.windows(F.col("code")))).alias("s")))
+    assert {r.node: r.most for r in one.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    other = one.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
+    kept = {(r.node, r.centre) for r in one.join(other, F.col("node") > F.col("centre")).where(line_dedup._possible(0.75)).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    linked = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert linked and linked <= kept and len(kept) < 1.6 * len(linked)
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -14,7 +14,8 @@ those of their rarest windows, which bring together every linked pair among them
 ``_regions``); lines that only share a passage do not meet there. Links merge components, and
 pairs within one component are not compared again. Before texts are joined, pairs are ruled out by
 sketches of the lines, which bound the windows that only one of two lines has (exact, see
-``_possible``), so that lines that merely share a passage make no rows.
+``_possible``), so that lines that merely share a passage make no rows; in regions the sketches
+are of the different windows and tell more (``parities``).
 
 A pair counts as a link only if the exact Jaccard index of the sets of all windows is at least
 ``threshold``. Union-find joins the links and one line per component stays: the first by
@@ -24,6 +25,8 @@ Expected recall of bands of two at an index of 0.75 is 98.8 %, at 0.85 99.9 %.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import drop_table, materialize
 
 SHINGLE, BINS, FEW = 12, 8, 16
+#: Orders of lines by which regions choose their first line.
+PIVOTS = 8
 #: Longs of a line's sketch: a bit for each hash class of windows.
 LONGS = 16
 #: Hashes are kept up to this many a bin and line on average.
@@ -92,19 +97,38 @@ def _band() -> Column:
     return F.xxhash64(F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(2))))
 
 
-def sketches(codes: DataFrame) -> DataFrame:
-    """(node, most, held): how many windows (equal ones too), and a bit for each of 64 * LONGS hash classes that has one."""
-    each = codes.select("node", "code", F.explode(starts(F.col("code"))).alias("i")).select("node", window_at(F.col("code"), F.col("i")).alias("s"))
+def _classes(each: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    """(node, most, held) of windows (node, s): how many, and for each of 64 * LONGS hash classes what ``fold`` makes of its bits."""
     long, bit = F.shiftrightunsigned("s", 64 - LONGS.bit_length() + 1), F.expr("shiftleft(1L, cast(s & 63 AS INT))")
-    found = each.groupBy("node").agg(F.count("*").cast("int").alias("most"), *[F.bit_or(F.when(long == k, bit)).alias(f"h{k}") for k in range(LONGS)])
+    found = each.groupBy("node").agg(F.count("*").cast("int").alias("most"), *[fold(F.when(long == k, bit)).alias(f"h{k}") for k in range(LONGS)])
     return found.select("node", "most", F.array(*[F.coalesce(f"h{k}", F.lit(0).cast("long")) for k in range(LONGS)]).alias("held"))
 
 
+def sketches(codes: DataFrame) -> DataFrame:
+    """(node, most, held): how many windows (equal ones too), and a bit for each of 64 * LONGS hash classes that has one."""
+    each = codes.select("node", "code", F.explode(starts(F.col("code"))).alias("i"))
+    return _classes(each.select("node", window_at(F.col("code"), F.col("i")).alias("s")), F.bit_or)
+
+
+def parities(own: DataFrame) -> DataFrame:
+    """(node, most, held) of *different* windows (node, s): a class's bit tells whether it has an odd number of them.
+
+    A class whose bits differ has a window that only one of two lines has. Two windows that only one has hide each other
+    where they share a class, but, unlike in ``sketches``, the many windows that both lines have hide none.
+    """
+    return _classes(own, F.bit_xor)
+
+
+def _apart() -> Column:
+    """In how many classes the sketches ``held`` and ``cheld`` differ."""
+    differ = [F.bit_count(F.get("held", F.lit(k)).bitwiseXOR(F.get("cheld", F.lit(k)))) for k in range(LONGS)]
+    return sum(differ[1:], differ[0])
+
+
 def _possible(threshold: float) -> Column:
     """Whether the sketches (most, held) and (cmost, cheld) allow a link: a class that one line has and the other lacks is a
     window that only one has, and linked lines have (1 - threshold) / (1 + threshold) of their sizes of those at most."""
-    differ = [F.bit_count(F.get("held", F.lit(k)).bitwiseXOR(F.get("cheld", F.lit(k)))) for k in range(LONGS)]
-    return (1 + threshold) * sum(differ[1:], differ[0]) <= (1 - threshold) * (F.col("most") + F.col("cmost")) + 1e-6
+    return (1 + threshold) * _apart() <= (1 - threshold) * (F.col("most") + F.col("cmost")) + 1e-6
 
 
 def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
@@ -120,10 +144,10 @@ def _edges(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("node"), F.col("component").alias("centre"))
 
 
-def _open(members: DataFrame, key: str) -> DataFrame:
-    """``members`` of the groups by ``key`` that lie in several components ``c``, with ``n_in``, the group's size."""
-    several = members.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in")).where("lo < hi")
-    return members.join(several.select(key, "n_in"), key)
+def _open(members: DataFrame, key: str, *more: Column) -> DataFrame:
+    """``members`` of the groups by ``key`` that lie in several components ``c``, with ``n_in``, the group's size, and ``more`` of the group."""
+    several = members.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_in"), *more).where("lo < hi")
+    return members.join(several.drop("lo", "hi"), key)
 
 
 def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -131,14 +155,15 @@ def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
-def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """(node, size, alone, first): the first windows of every line, rare ones first, that a partner cannot all lack.
+def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, size, alone, first): the first windows of every line, rare ones first, that a partner cannot all lack; and ``parities``.
 
     A line of n different windows shares at least threshold * n of them with any line it is linked
     to, so the first that two linked lines share is among the first n - ceil(threshold * n) + 1 of both.
     """
     own = codes.join(nodes, "node", "left_semi").select("node", F.array_distinct(windows(F.col("code"))).alias("all"))
     own = materialize(own.select("node", F.size("all").alias("size"), F.explode("all").alias("s")), "line-windows")
+    parity = materialize(parities(own), "line-parities")
     shared = own.groupBy("s").agg(F.count("*").cast("int").alias("m")).where("m > 1")
     ordered = own.join(shared, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
     # Windows that no other line has come first; they are counted, not kept.
@@ -146,7 +171,7 @@ def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
     first = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone))
     out = materialize(ordered.select("node", "size", alone.alias("alone"), F.transform(first, lambda w: w["s"]).alias("first")), "line-regions")
     drop_table(nodes.sparkSession, own)
-    return out
+    return out, parity
 
 
 def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -183,30 +208,35 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     few = few.select("node", "c", "most", "held", F.explode("bands").alias("band"))
     other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
     pairs = few.join(other, "band").where("node > centre AND c <> cc").where(able).select("node", "centre")
-    regions = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
-    near = able & ((1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize")) - 1e-6)
+    regions, parity = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
+    cparity = parity.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
+    # Of what is left from the window at ``place`` on, linked lines share enough.
+    enough = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize")) - 1e-6
     ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
-    sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "c", "most", "held")]
-
-    def opened(comp: DataFrame) -> DataFrame:
-        """The members (s, node, place ...) of the regions that lie in several components."""
-        each = _named(regions, comp).join(sketch, "node").select("node", "size", "alone", "c", "most", "held", F.posexplode("first").alias("nth", "s"))
-        return materialize(_open(each.select("s", "node", "size", (F.col("alone") + F.col("nth")).alias("place"), "c", "most", "held"), "s"), "line-open")
 
-    # In each region one line is compared with all, then whoever is in none of its large component.
-    named = opened(comp)
-    pivot = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", "s").alias("k"), "node", "size", "place", "c", "most", "held")).alias("p")).select("s", "p.*")
-    hung = named.join(pivot.select("s", F.col("node").alias("centre"), *sides), "s").where("c <> cc").where(near).select(*ends)
-    more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
-    drop_table(spark, named)
-    comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
-
-    named = opened(comp)
+    def members(comp: DataFrame, *more: Column) -> DataFrame:
+        """The members (s, node, size, place, c) of the regions that lie in several components, and ``more``."""
+        each = _named(regions, comp).select("node", "size", "alone", "c", F.posexplode("first").alias("nth", "s"))
+        return _open(each.select("s", "node", "size", (F.col("alone") + F.col("nth")).alias("place"), "c"), "s", *more)
+
+    # In each region one line is compared with all, another one where that leaves several components, then whoever is in
+    # none of the region's large component. Regions have one of PIVOTS orders of lines, so that a line meets few first ones
+    # in its many regions, and its pairs are made once.
+    for turn in range(2):
+        rank = F.xxhash64("node", F.col("s").bitwiseAND(F.lit(PIVOTS - 1)) + PIVOTS * turn)
+        pivot = F.min(F.struct(rank.alias("k"), F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))).alias("p")
+        hung = members(comp, pivot).select("node", "size", "place", "c", "p.*").where("c <> cc").where(enough).select("node", "centre").distinct()
+        hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*ends)
+        more = materialize(_matching((hung if turn else pairs.union(hung)).distinct(), codes, threshold), "line-links")
+        comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
+
+    named = materialize(members(comp).drop("n_in").join(parity, "node"), "line-open")
     counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
     largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
+    sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "c", "most", "held")]
     outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
-    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(near).select(*ends).distinct(), codes, threshold), "line-links")
-    drop_table(spark, codes, sketch, rest, regions, named)
+    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(enough & able).select(*ends).distinct(), codes, threshold), "line-links")
+    drop_table(spark, codes, sketch, parity, rest, regions, named)
     return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
 
 

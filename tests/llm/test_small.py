@@ -272,6 +272,31 @@ def test_line_dedup_parities_rule_out_no_link(spark):
     assert linked and linked <= kept and len(kept) < 1.6 * len(linked)
 
 
+def test_line_dedup_of_bands_makes_no_regions(spark, monkeypatch):
+    """Lines of a band of up to MANY are paired by their sketches; only those of larger ones meet in regions. Both are exact."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(45))
+    texts = near_copies()[::2]
+    for _ in range(40):
+        own = [word() for _ in range(40)]
+        texts.append(passage + " " + " ".join(own))
+        own[rng.randrange(40)] = word()
+        texts.append(passage + " " + " ".join(own))
+    sizes, regions = [], line_dedup._regions
+    monkeypatch.setattr(line_dedup, "_regions", lambda nodes, *more: sizes.append(nodes.count()) or regions(nodes, *more))
+    want = brute_removed(texts)
+    assert len(want) > 100 and removed_by_spark(spark, texts) == want and sizes == []
+    monkeypatch.setattr(line_dedup, "MANY", line_dedup.FEW)
+    assert removed_by_spark(spark, texts) == want and len(sizes) == 1 and sizes[0] > 60
+
+
+def test_line_key_equals_trim(spark):
+    lines = ["", " ", "\t \r", "a", " a", "a\x0b", "\x0ca b\t", "\u00a0a ", "\r\u4e00", "a\x00", "\x1fa", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, raw string").select("i", line_dedup.line_key(F.col("raw")).alias("k")).collect()
+    assert {r.i: r.k for r in got} == {i: (x or "").strip(" \t\r\f\v") or None for i, x in enumerate(lines)}
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -9,12 +9,13 @@ which spares most of the work on long lines and is the same for equal lines.
 
 Two neighbouring minima, around the circle, are a band. The lines of a band are compared with its
 smallest line; where that leaves several components, all others, matched or not, are compared
-pair by pair if they are at most ``FEW``. The lines of more crowded bands meet in regions instead,
+pair by pair if they are at most ``FEW``. Up to ``MANY`` are compared with two more lines first, and
+then whoever is in other components than most. The lines of more crowded bands meet in regions instead,
 those of their rarest windows, which bring together every linked pair among them (exact, see
 ``_regions``); lines that only share a passage do not meet there. Links merge components, and
 pairs within one component are not compared again. Before texts are joined, pairs are ruled out by
 sketches of the lines, which bound the windows that only one of two lines has (exact, see
-``_possible``), so that lines that merely share a passage make no rows; in regions the sketches
+``_possible``), so that lines that merely share a passage make no rows; for crowded bands the sketches
 are of the different windows and tell more (``parities``).
 
 A pair counts as a link only if the exact Jaccard index of the sets of all windows is at least
@@ -25,6 +26,7 @@ Expected recall of bands of two at an index of 0.75 is 98.8 %, at 0.85 99.9 %.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,9 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import drop_table, materialize
 
 SHINGLE, BINS, FEW = 12, 8, 16
+#: Bands of more lines meet in regions of their rarest windows. The sketches of a pair cost some 0.1 us, the windows of a
+#: line some ms: about here both cost the same. Either way is exact.
+MANY = 4096
 #: Orders of lines by which regions choose their first line.
 PIVOTS = 8
 #: Longs of a line's sketch: a bit for each hash class of windows.
@@ -41,14 +46,17 @@ LONGS = 16
 #: Hashes are kept up to this many a bin and line on average.
 _DEPTH = 8
 _NO_ID = -(1 << 63)
+_BLANKS = " \t\r\f\v"
 #: Places spread over a line (multiples of the golden ratio), as shares of its length.
 _SHARES = [k * 0.6180339887498949 % 1 for k in range(16)]
 
 
 def line_key(line: Column) -> Column:
     """What makes lines equal: their text without blanks at either end; empty ones get null and stay."""
-    trimmed = F.btrim(line, F.lit(" \t\r\f\v"))
-    return F.when(trimmed != "", trimmed)
+    at_end = [f(line, F.lit(c)) for c in _BLANKS for f in (F.startswith, F.endswith)]
+    # Trimming looks at every character, several times; few lines need it.
+    trimmed = F.when(functools.reduce(Column.__or__, at_end), F.btrim(line, F.lit(_BLANKS))).otherwise(line)
+    return F.nullif(trimmed, F.lit(""))
 
 
 def coded(line: Column) -> Column:
@@ -76,7 +84,7 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(node, doc_id, minima) of every different line; ``doc_id`` holds the line (rows without id as the least one)."""
+    """(node, doc_id, n, minima) of every different line; ``doc_id`` holds the line (rows without id as the least one), ``n`` rows do."""
     code = rows.select("node", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), coded(F.col("line")).alias("code"))
     # Lines that repeat themselves have few different windows: if any of some places look alike, all hashes are kept.
     some = [window_at(F.col("code"), F.floor(F.length("code") / 2 * share).cast("int") * 2 + 1) for share in _SHARES]
@@ -87,14 +95,13 @@ def signatures(rows: DataFrame) -> DataFrame:
     within = F.col("h").bitwiseAND(F.lit((1 << 61) - 1)).cast("double")
     low = h.where((within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61))) | (F.col("i") == 1))
     least = [F.min(F.when(F.shiftrightunsigned("h", 61) == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)]
-    found = low.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *least)
-    return found.select("node", "doc_id", F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("minima"))
+    found = low.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.when(F.col("i") == 1, 1)).alias("rows"), *least)
+    return found.select("node", "doc_id", F.col("rows").alias("n"), F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("minima"))
 
 
 def _band() -> Column:
     """The band at place ``pos``: two minima from there, around the circle."""
-    n = F.size("minima")
-    return F.xxhash64(F.slice(F.concat("minima", "minima"), F.col("pos") + 1, F.least(n, F.lit(2))))
+    return F.xxhash64(F.get("minima", F.col("pos")), F.get("minima", (F.col("pos") + 1) % F.size("minima")))
 
 
 def _classes(each: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
@@ -155,27 +162,46 @@ def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
-def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, size, alone, first): the first windows of every line, rare ones first, that a partner cannot all lack; and ``parities``.
+def _different(codes: DataFrame) -> DataFrame:
+    """(node, all): the different windows of every line."""
+    return codes.select("node", F.array_distinct(windows(F.col("code"))).alias("all"))
+
+
+def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """(node, size, groups): the first windows (s, place) of every line, rare ones first, that a partner cannot all lack.
 
     A line of n different windows shares at least threshold * n of them with any line it is linked
     to, so the first that two linked lines share is among the first n - ceil(threshold * n) + 1 of both.
     """
-    own = codes.join(nodes, "node", "left_semi").select("node", F.array_distinct(windows(F.col("code"))).alias("all"))
-    own = materialize(own.select("node", F.size("all").alias("size"), F.explode("all").alias("s")), "line-windows")
-    parity = materialize(parities(own), "line-parities")
+    own = materialize(_different(codes.join(nodes, "node", "left_semi")).select("node", F.size("all").alias("size"), F.explode("all").alias("s")), "line-windows")
     shared = own.groupBy("s").agg(F.count("*").cast("int").alias("m")).where("m > 1")
     ordered = own.join(shared, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))
     # Windows that no other line has come first; they are counted, not kept.
     alone = F.col("size") - F.size("o")
     first = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - alone))
-    out = materialize(ordered.select("node", "size", alone.alias("alone"), F.transform(first, lambda w: w["s"]).alias("first")), "line-regions")
+    groups = F.transform(first, lambda w, i: F.struct(w["s"].alias("s"), (alone + i).alias("place")))
+    out = materialize(ordered.select("node", "size", groups.alias("groups")), "line-regions")
     drop_table(nodes.sparkSession, own)
-    return out, parity
+    return out
 
 
-def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(u, v): node pairs with the components of the links of exact index >= ``threshold`` among what the bands bring together."""
+def _groups(crowded: DataFrame, codes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, size, groups): in which groups (s, place) the lines of the bands ``crowded`` meet; ``parities``; and their ``codes``.
+
+    Groups are the bands themselves, from the first window on (place 0), and regions for bands of more than ``MANY``.
+    """
+    own = materialize(codes.join(crowded.select("node").distinct(), "node", "left_semi"), "line-crowd")
+    parity = materialize(parities(_different(own).select("node", F.explode("all").alias("s"))), "line-parities")
+    bands = crowded.where(F.col("n_in") <= MANY).groupBy("node").agg(F.collect_set("band").alias("bands")).join(parity, "node")
+    group = F.transform("bands", lambda b: F.struct(b.alias("s"), F.lit(0).alias("place")))
+    out = materialize(bands.select("node", F.col("most").alias("size"), group.alias("groups")), "line-groups")
+    more = crowded.where(F.col("n_in") > MANY).select("node").distinct()
+    return (out if more.isEmpty() else out.union(_regions(more, own, threshold))), parity, own
+
+
+def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(u, v): node pairs with the components of the links of exact index >= ``threshold`` among what the bands bring together;
+    and (node) of the lines that several ``rows`` hold."""
     spark = rows.sparkSession
     once = materialize(signatures(rows), "line-vertices")
     places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
@@ -187,6 +213,7 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
 
     # The lines in such bands, from one document that holds the line.
     wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "line-wanted")
+    repeated = materialize(once.where("n > 1").select("node"), "line-repeated")
     drop_table(spark, once)
     texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
     codes = materialize(texts.select("node", "line").dropDuplicates(["node"]).select("node", coded(F.col("line")).alias("code")), "line-codes")
@@ -208,26 +235,26 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     few = few.select("node", "c", "most", "held", F.explode("bands").alias("band"))
     other = few.select("band", F.col("node").alias("centre"), F.col("c").alias("cc"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
     pairs = few.join(other, "band").where("node > centre AND c <> cc").where(able).select("node", "centre")
-    regions, parity = _regions(rest.where(F.col("n_in") > FEW).select("node").distinct(), codes, threshold)
+    groups, parity, own = _groups(rest.where(F.col("n_in") > FEW), codes, threshold)
     cparity = parity.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
     # Of what is left from the window at ``place`` on, linked lines share enough.
     enough = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize")) - 1e-6
     ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
 
     def members(comp: DataFrame, *more: Column) -> DataFrame:
-        """The members (s, node, size, place, c) of the regions that lie in several components, and ``more``."""
-        each = _named(regions, comp).select("node", "size", "alone", "c", F.posexplode("first").alias("nth", "s"))
-        return _open(each.select("s", "node", "size", (F.col("alone") + F.col("nth")).alias("place"), "c"), "s", *more)
+        """The members (s, node, size, place, c) of the groups that lie in several components, and ``more``."""
+        each = _named(groups, comp).select("node", "size", "c", F.explode("groups").alias("g"))
+        return _open(each.select("g.s", "node", "size", "g.place", "c"), "s", *more)
 
-    # In each region one line is compared with all, another one where that leaves several components, then whoever is in
-    # none of the region's large component. Regions have one of PIVOTS orders of lines, so that a line meets few first ones
-    # in its many regions, and its pairs are made once.
+    # In each group one line is compared with all, another one where that leaves several components, then whoever is in
+    # none of the group's large component. Groups have one of PIVOTS orders of lines, so that a line meets few first ones
+    # in its many groups, and its pairs are made once.
     for turn in range(2):
         rank = F.xxhash64("node", F.col("s").bitwiseAND(F.lit(PIVOTS - 1)) + PIVOTS * turn)
         pivot = F.min(F.struct(rank.alias("k"), F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))).alias("p")
         hung = members(comp, pivot).select("node", "size", "place", "c", "p.*").where("c <> cc").where(enough).select("node", "centre").distinct()
-        hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*ends)
-        more = materialize(_matching((hung if turn else pairs.union(hung)).distinct(), codes, threshold), "line-links")
+        hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*ends).distinct()
+        more = materialize(_matching(hung if turn else pairs.union(hung).distinct(), own if turn else codes, threshold), "line-links")
         comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
 
     named = materialize(members(comp).drop("n_in").join(parity, "node"), "line-open")
@@ -235,9 +262,9 @@ def links(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
     sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "c", "most", "held")]
     outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
-    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(enough & able).select(*ends).distinct(), codes, threshold), "line-links")
-    drop_table(spark, codes, sketch, parity, rest, regions, named)
-    return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(enough & able).select(*ends).distinct(), own, threshold), "line-links")
+    drop_table(spark, codes, own, sketch, parity, rest, groups, named)
+    return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v")), repeated
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,15 +275,13 @@ def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "
     """
     spark = documents.sparkSession
     rows = lines(documents, id_col, text_col)
-    comp = components(links(rows, threshold), label="line-components")
-    slim = materialize(rows.select("doc_id", "line_no", "node"), "line-places")
-    counts = slim.groupBy("node").agg(F.count("*").alias("n"))
-    named = counts.join(comp, counts["node"] == comp["id"], "left").select("node", "n", F.coalesce("component", "node").alias("c"))
-    classes = named.where("n > 1 OR c <> node").select("c").union(comp.select("component")).distinct()
+    edges, repeated = links(rows, threshold)
+    comp = components(edges, label="line-components").select(F.col("id").alias("node"), F.col("component").alias("c"))
     # Only lines of classes of several are looked at again.
-    alike = materialize(slim.join(named.join(classes, "c", "left_semi").select("node", "c"), "node").select("doc_id", "line_no", "c"), "line-alike")
+    named = comp.union(repeated.join(comp, "node", "left_anti").select("node", F.col("node").alias("c")))
+    alike = materialize(rows.select("doc_id", "line_no", "node").join(named, "node").select("doc_id", "line_no", "c"), "line-alike")
     keepers = alike.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
-    drop_table(spark, slim)
+    drop_table(spark, repeated)
     return alike.join(keepers, "c").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper"))).select(
         "doc_id", "line_no", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line")
     )

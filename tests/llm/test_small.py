@@ -291,6 +291,25 @@ def test_line_dedup_of_bands_makes_no_regions(spark, monkeypatch):
     assert removed_by_spark(spark, texts) == want and len(sizes) == 1 and sizes[0] > 60
 
 
+def test_line_dedup_makes_a_pair_once(spark):
+    """However many bands two lines share, and from one end only; in regions, which have no bands, once in each."""
+    lines = {1: (1, [10, 20, 30]), 2: (1, [10, 20, 30]), 3: (3, [20, 30]), 4: (4, [10, 20, 30]), 5: (5, [30])}
+    of = lambda i, s, bands: (s, i, 9, 0, bands, lines[i][0], 9, [i])
+    rows = [of(i, s, bands) for i, (_, bands) in lines.items() for s in bands] + [of(i, s, None) for i in (1, 4) for s in (70, 80)]
+    named = spark.createDataFrame(rows, "s long, node long, size int, place int, bands array<long>, c long, most int, held array<long>")
+    got = sorted((r.node, r.centre, r.total) for r in line_dedup._outside(named, F.col("size") == F.col("csize")).collect())
+    want = [(i, j, 18) for i in lines for j in lines if i > j and lines[i][0] != lines[j][0]]
+    assert got == sorted(want + [(4, 1, 18)] * 2)
+
+
+def test_line_dedup_of_crowded_bands_writes_few_tables(spark, monkeypatch):
+    """Each statement leaves plans and compiled code in the driver: one round over first lines, not two."""
+    labels, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    texts = near_copies()[::3]
+    assert removed_by_spark(spark, texts) == brute_removed(texts) and labels.count("line-links") == 3
+
+
 def test_line_key_equals_trim(spark):
     lines = ["", " ", "\t \r", "a", " a", "a\x0b", "\x0ca b\t", "\u00a0a ", "\r\u4e00", "a\x00", "\x1fa", None]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, raw string").select("i", line_dedup.line_key(F.col("raw")).alias("k")).collect()

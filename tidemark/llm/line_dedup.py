@@ -9,8 +9,9 @@ which spares most of the work on long lines and is the same for equal lines.
 
 Two neighbouring minima, around the circle, are a band. The lines of a band are compared with its
 smallest line; where that leaves several components, all others, matched or not, are compared
-pair by pair if they are at most ``FEW``. Up to ``MANY`` are compared with two more lines first, and
-then whoever is in other components than most. The lines of more crowded bands meet in regions instead,
+pair by pair if they are at most ``FEW``. Up to ``MANY`` are compared with one more line first, and
+then whoever is in other components than most; a pair is made once, in the least band that both lines
+have of these, however many they share. The lines of more crowded bands meet in regions instead,
 those of their rarest windows, which bring together every linked pair among them (exact, see
 ``_regions``); lines that only share a passage do not meet there. Links merge components, and
 pairs within one component are not compared again. Before texts are joined, pairs are ruled out by
@@ -139,9 +140,15 @@ def _possible(threshold: float) -> Column:
 
 
 def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """The (node, centre) ``pairs`` of index >= ``threshold``; ``codes``: (node, code)."""
+    """The (node, centre) ``pairs`` of index >= ``threshold``; ``codes``: (node, code).
+
+    Pairs may come with ``total``, the different windows of one line and those of the other; these are not counted again.
+    """
     side = lambda name, k: codes.select(F.col("node").alias(name), F.col("code").alias(f"code{k}"))
     both = pairs.join(side("node", 1), "node").join(side("centre", 2), "centre")
+    if "total" in pairs.columns:
+        shared = both.select("node", "centre", "total", F.size(F.array_intersect(*[windows(F.col(f"code{k}")) for k in (1, 2)])).alias("both"))
+        return shared.where((1 + threshold) * F.col("both") >= threshold * F.col("total")).select("node", "centre")
     sets = both.select("node", "centre", *[F.array_distinct(windows(F.col(f"code{k}"))).alias(f"s{k}") for k in (1, 2)])
     n = F.size("s1") + F.size("s2")
     return sets.where((1 + threshold) * F.size(F.array_intersect("s1", "s2")) >= threshold * n).select("node", "centre")
@@ -186,17 +193,38 @@ def _regions(nodes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _groups(crowded: DataFrame, codes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, size, groups): in which groups (s, place) the lines of the bands ``crowded`` meet; ``parities``; and their ``codes``.
+    """(node, size, groups, bands): in which groups (s, place) the lines of the bands ``crowded`` meet; ``parities``; and their ``codes``.
 
-    Groups are the bands themselves, from the first window on (place 0), and regions for bands of more than ``MANY``.
+    Groups are the bands themselves, from the first window on (place 0), also in ``bands``, and regions for bands of more
+    than ``MANY``, without ``bands``.
     """
     own = materialize(codes.join(crowded.select("node").distinct(), "node", "left_semi"), "line-crowd")
     parity = materialize(parities(_different(own).select("node", F.explode("all").alias("s"))), "line-parities")
     bands = crowded.where(F.col("n_in") <= MANY).groupBy("node").agg(F.collect_set("band").alias("bands")).join(parity, "node")
     group = F.transform("bands", lambda b: F.struct(b.alias("s"), F.lit(0).alias("place")))
-    out = materialize(bands.select("node", F.col("most").alias("size"), group.alias("groups")), "line-groups")
+    out = materialize(bands.select("node", F.col("most").alias("size"), group.alias("groups"), "bands"), "line-groups")
     more = crowded.where(F.col("n_in") > MANY).select("node").distinct()
-    return (out if more.isEmpty() else out.union(_regions(more, own, threshold))), parity, own
+    return (out if more.isEmpty() else out.unionByName(_regions(more, own, threshold), allowMissingColumns=True)), parity, own
+
+
+def _ends() -> list[Column]:
+    return [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
+
+
+def _outside(named: DataFrame, allowed: Column) -> DataFrame:
+    """(node, centre, total): the ``allowed`` pairs of a group's different components, of which one line at least is not in its largest.
+
+    A pair is made from one end, and in the least of the ``bands`` that both lines have, which holds both components
+    as well. Regions have none; there a pair comes in each.
+    """
+    counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
+    sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "bands", "c", "most", "held")]
+    outside = named.join(largest, "s").where("c <> big").select("s", "big", F.col("node").alias("centre"), *sides)
+    one_end = (F.col("c") == F.col("big")) | (F.col("node") > F.col("centre"))
+    least = F.coalesce(F.array_min(F.array_intersect("bands", "cbands")) == F.col("s"), F.lit(True))
+    pairs = named.join(outside, "s").where("c <> cc").where(one_end & allowed & least)
+    return pairs.select(*_ends(), (F.col("size") + F.col("csize")).alias("total"))
 
 
 def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -239,30 +267,23 @@ def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFram
     cparity = parity.select(F.col("node").alias("centre"), F.col("most").alias("cmost"), F.col("held").alias("cheld"))
     # Of what is left from the window at ``place`` on, linked lines share enough.
     enough = (1 + threshold) * F.least(F.col("size") - F.col("place"), F.col("csize") - F.col("cplace")) >= threshold * (F.col("size") + F.col("csize")) - 1e-6
-    ends = [F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")]
-
-    def members(comp: DataFrame, *more: Column) -> DataFrame:
-        """The members (s, node, size, place, c) of the groups that lie in several components, and ``more``."""
-        each = _named(groups, comp).select("node", "size", "c", F.explode("groups").alias("g"))
-        return _open(each.select("g.s", "node", "size", "g.place", "c"), "s", *more)
-
-    # In each group one line is compared with all, another one where that leaves several components, then whoever is in
-    # none of the group's large component. Groups have one of PIVOTS orders of lines, so that a line meets few first ones
-    # in its many groups, and its pairs are made once.
-    for turn in range(2):
-        rank = F.xxhash64("node", F.col("s").bitwiseAND(F.lit(PIVOTS - 1)) + PIVOTS * turn)
-        pivot = F.min(F.struct(rank.alias("k"), F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))).alias("p")
-        hung = members(comp, pivot).select("node", "size", "place", "c", "p.*").where("c <> cc").where(enough).select("node", "centre").distinct()
-        hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*ends).distinct()
-        more = materialize(_matching(hung if turn else pairs.union(hung).distinct(), own if turn else codes, threshold), "line-links")
-        comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
-
-    named = materialize(members(comp).drop("n_in").join(parity, "node"), "line-open")
-    counts = named.groupBy("s", "c").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("s").agg(F.max(F.struct("n", "c")).alias("b")).select("s", F.col("b.c").alias("big"))
-    sides = [F.col(c).alias(f"c{c}") for c in ("size", "place", "c", "most", "held")]
-    outside = named.join(largest, "s").where("c <> big").select("s", F.col("node").alias("centre"), *sides)
-    last = materialize(_matching(named.join(outside, "s").where("c <> cc").where(enough & able).select(*ends).distinct(), own, threshold), "line-links")
+
+    def members(*more: Column) -> DataFrame:
+        """The members (s, node, size, place, bands, c) of the groups that lie in several components, and ``more``."""
+        each = _named(groups, comp).select("node", "size", "bands", "c", F.explode("groups").alias("g"))
+        return _open(each.select("g.s", "node", "size", "g.place", "bands", "c"), "s", *more)
+
+    # In each group one line is compared with all, then whoever is in none of the group's large component. Groups have one
+    # of PIVOTS orders of lines, so that a line meets few first ones in its many groups, and its pairs are made once.
+    rank = F.xxhash64("node", F.col("s").bitwiseAND(F.lit(PIVOTS - 1)))
+    pivot = F.min(F.struct(rank.alias("k"), F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))).alias("p")
+    hung = members(pivot).select("node", "size", "place", "c", "p.*").where("c <> cc").where(enough).select("node", "centre").distinct()
+    hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*_ends())
+    more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
+    comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
+
+    named = materialize(members().drop("n_in").join(parity, "node"), "line-open")
+    last = materialize(_matching(_outside(named, enough & able).distinct(), own, threshold), "line-links")
     drop_table(spark, codes, own, sketch, parity, rest, groups, named)
     return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v")), repeated
 

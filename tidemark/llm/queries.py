@@ -29,7 +29,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that stay, and the numbers of those that go."""
     docs = documents(spark, sf_dir)
     gone = line_dedup.removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-    n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    n = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     n_removed = F.coalesce(F.size("removed_lines"), F.lit(0))
     return n.join(gone, "doc_id", "left").select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines")

@@ -224,6 +224,25 @@ def test_line_dedup_sketches_rule_out_no_link(spark):
     assert got == linked
 
 
+def test_line_dedup_makes_windows_once_a_side(spark):
+    """A filter that names the sets of windows several times would make them anew each time."""
+    codes = spark.range(2).select(F.col("id").alias("node"), line_dedup.coded(F.lit("x" * 20)).alias("code"))
+    pairs = spark.createDataFrame([(1, 0)], "node long, centre long")
+    assert line_dedup._matching(pairs, codes, 0.75)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+
+
+def test_line_dedup_marks_miss_no_key(spark, monkeypatch):
+    for longs, most in ((1 << 20, 600), (64, 3500)):
+        monkeypatch.setattr(line_dedup, "MARKS", longs)
+        keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+        row, asked = line_dedup._marks(keys.where("key % 5 = 0"), "marks", 1000)
+        passed = {r.key for r in keys.crossJoin(F.broadcast(row)).where(asked(F.col("key"))).select("key").collect()}
+        own = {r.key for r in keys.collect() if r.key % 5 == 0}
+        assert own and own <= passed and len(passed - own) < most
+    row, asked = line_dedup._marks(keys.where("false"), "marks", 0)
+    assert keys.crossJoin(row).where(asked(F.col("key"))).count() == 0
+
+
 def test_line_dedup_of_a_passage_makes_few_pairs(spark, monkeypatch):
     """Lines that share a passage but are not alike are never joined with each other's text."""
     rng = random.Random(22)

@@ -44,6 +44,8 @@ MANY = 4096
 PIVOTS = 8
 #: Longs of a line's sketch: a bit for each hash class of windows.
 LONGS = 16
+#: Longs of marks (see ``_marks``): 8 MB, of which a third is set for 25 million keys.
+MARKS = 1 << 20
 #: Hashes are kept up to this many a bin and line on average.
 _DEPTH = 8
 _NO_ID = -(1 << 63)
@@ -92,14 +94,42 @@ def signatures(rows: DataFrame) -> DataFrame:
     varied = F.size(F.array_distinct(F.array(*some))) == len(some)
     code = code.withColumn("n", F.when(varied, F.length("code") / 2).otherwise(1.0))
     each = code.select("node", "doc_id", "n", "code", F.explode(starts(F.col("code"))).alias("i"))
-    h = each.select("node", "doc_id", "n", "i", window_at(F.col("code"), F.col("i")).alias("h"))
+    h = each.select("node", "doc_id", "n", "i", window_at(F.col("code"), F.col("i")).alias("h"), _once())
     within = F.col("h").bitwiseAND(F.lit((1 << 61) - 1)).cast("double")
-    low = h.where((within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61))) | (F.col("i") == 1))
+    low = h.where((within * F.col("n") <= F.lit(float(_DEPTH * BINS << 61))) | (F.col("i") == 1)).where("p >= 0")
     least = [F.min(F.when(F.shiftrightunsigned("h", 61) == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)]
     found = low.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.when(F.col("i") == 1, 1)).alias("rows"), *least)
     return found.select("node", "doc_id", F.col("rows").alias("n"), F.array_compact(F.array(*[f"m{k}" for k in range(BINS)])).alias("minima"))
 
 
+def _once() -> Column:
+    """A column ``p`` that keeps a filter by it, ``p >= 0``, above the columns beside it: it is not deterministic, and Spark would
+    otherwise put what makes these columns into the filter, and so make them anew for each mention and for each row that stays."""
+    return F.spark_partition_id().alias("p")
+
+
+def _place(key: Column, longs: int) -> tuple[Column, Column]:
+    """The long of ``longs`` and the bit in it that stand for a hash ``key``."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftrightunsigned(key, 65 - longs.bit_length()).cast("int"), bit
+
+
+def _marks(keys: DataFrame, name: str, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """One row with the array ``name``, a bit set for each of ``n`` hashes (``key``), and how to ask it: no key is missed, while
+    of others about one in 16 passes, or more where ``MARKS`` bounds the array. Joins with so few keys need not move all rows."""
+    longs = 1 << min(MARKS.bit_length() - 1, max(6, (n // 4).bit_length()))
+    at, bit = _place(F.col("key"), longs)
+    held = keys.select(at.alias("at"), bit.alias("bit")).union(keys.sparkSession.range(longs).select(F.col("id").cast("int"), F.lit(0).cast("long")))
+    each = held.groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    row = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bit"))), lambda x: x["bit"]).alias(name))
+
+    def asked(key: Column) -> Column:
+        at, bit = _place(key, longs)
+        return F.get(name, at).bitwiseAND(bit) != 0
+
+    return row, asked
+
+
 def _band() -> Column:
     """The band at place ``pos``: two minima from there, around the circle."""
     return F.xxhash64(F.get("minima", F.col("pos")), F.get("minima", (F.col("pos") + 1) % F.size("minima")))
@@ -140,18 +170,21 @@ def _possible(threshold: float) -> Column:
 
 
 def _matching(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """The (node, centre) ``pairs`` of index >= ``threshold``; ``codes``: (node, code).
+    """The (node, centre) ``pairs`` of index >= ``threshold``; ``codes``: (node, code). Pairs are read twice.
 
-    Pairs may come with ``total``, the different windows of one line and those of the other; these are not counted again.
+    Pairs may come with ``total``, the different windows of one line and those of the other, or null. Without, these are only
+    counted where it matters: all windows, equal ones too, are no fewer. The windows of a centre are made once, however many
+    pairs it is in.
     """
-    side = lambda name, k: codes.select(F.col("node").alias(name), F.col("code").alias(f"code{k}"))
-    both = pairs.join(side("node", 1), "node").join(side("centre", 2), "centre")
-    if "total" in pairs.columns:
-        shared = both.select("node", "centre", "total", F.size(F.array_intersect(*[windows(F.col(f"code{k}")) for k in (1, 2)])).alias("both"))
-        return shared.where((1 + threshold) * F.col("both") >= threshold * F.col("total")).select("node", "centre")
-    sets = both.select("node", "centre", *[F.array_distinct(windows(F.col(f"code{k}"))).alias(f"s{k}") for k in (1, 2)])
-    n = F.size("s1") + F.size("s2")
-    return sets.where((1 + threshold) * F.size(F.array_intersect("s1", "s2")) >= threshold * n).select("node", "centre")
+    total = F.col("total") if "total" in pairs.columns else F.lit(None).cast("int")
+    second = codes.join(pairs.select(F.col("centre").alias("node")), "node", "left_semi").select(F.col("node").alias("centre"), windows(F.col("code")).alias("s2"))
+    first = pairs.select("node", "centre", total.alias("total")).alias("p").join(codes.alias("c"), F.col("p.node") == F.col("c.node")).select("p.*", "c.code")
+    made = first.join(second, "centre").select("node", "centre", "total", windows(F.col("code")).alias("s1"), "s2", _once())
+    both = made.where("p >= 0").select("node", "centre", "total", "s1", "s2", F.size(F.array_intersect("s1", "s2")).alias("both"), _once())
+    share, most = (1 + threshold) * F.col("both"), F.size("s1") + F.size("s2")
+    different = F.size(F.array_distinct("s1")) + F.size(F.array_distinct("s2"))
+    enough = share >= threshold * F.coalesce("total", F.when(share >= threshold * most, most).otherwise(different))
+    return both.where(enough).where("p >= 0").select("node", "centre")
 
 
 def _edges(comp: DataFrame) -> DataFrame:
@@ -227,23 +260,33 @@ def _outside(named: DataFrame, allowed: Column) -> DataFrame:
     return pairs.select(*_ends(), (F.col("size") + F.col("csize")).alias("total"))
 
 
-def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(u, v): node pairs with the components of the links of exact index >= ``threshold`` among what the bands bring together;
-    and (node) of the lines that several ``rows`` hold."""
+    (node) of the lines that several ``rows`` hold; and (doc_id, line_no, node) of the rows with lines of either, and some others."""
     spark = rows.sparkSession
     once = materialize(signatures(rows), "line-vertices")
     places = once.select("node", "minima", F.explode(F.sequence(F.lit(0), F.size("minima") - 1)).alias("pos"))
     banded = places.select("node", _band().alias("band"))
     # Written before it is joined, so that the join on a hot band can be split.
     star = materialize(banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "line-stars")
-    member = materialize(banded.join(star.hint("shuffle_hash"), "band").distinct(), "line-bands")
+    marks, shared = _marks(star.select(F.col("band").alias("key")), "shared", star.count())
+    likely = banded.crossJoin(F.broadcast(marks)).where(shared(F.col("band"))).select("node", "band")
+    member = materialize(likely.join(star.hint("shuffle_hash"), "band").distinct(), "line-bands")
     drop_table(spark, star)
 
     # The lines in such bands, from one document that holds the line.
     wanted = materialize(once.join(member.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "line-wanted")
     repeated = materialize(once.where("n > 1").select("node"), "line-repeated")
     drop_table(spark, once)
-    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
+    # The documents are split once more, for the texts of the former and the places of both.
+    of = F.coalesce("doc_id", F.lit(_NO_ID))
+    place = F.xxhash64("node", of)
+    some = wanted.select("node").union(repeated)
+    nodes, kept = _marks(some.select(F.col("node").alias("key")), "nodes", some.count())
+    places, told = _marks(wanted.select(F.xxhash64("node", "doc_id").alias("key")), "places", wanted.count())
+    marked = rows.crossJoin(F.broadcast(nodes.crossJoin(places))).where(kept(F.col("node")))
+    seen = materialize(marked.select("doc_id", "line_no", "node", F.when(told(place), F.col("line")).alias("line")), "line-seen")
+    texts = seen.where(F.col("line").isNotNull()).withColumn("doc_id", of).join(wanted.hint("shuffle_hash"), ["node", "doc_id"], "left_semi")
     codes = materialize(texts.select("node", "line").dropDuplicates(["node"]).select("node", coded(F.col("line")).alias("code")), "line-codes")
     drop_table(spark, wanted)
     sketch = materialize(sketches(codes), "line-sketches")
@@ -252,6 +295,7 @@ def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFram
 
     spokes = member.where("node > centre").groupBy("node").agg(F.collect_set("centre").alias("centres")).join(sketch, "node")  # a few a line
     spokes = spokes.select("node", "most", "held", F.explode("centres").alias("centre")).join(side, "centre").where(able).select("node", "centre")
+    spokes = materialize(spokes, "line-pairs")
     good = materialize(_matching(spokes, codes, threshold), "line-links")
     comp = components(good, "node", "centre", label="line-components")
 
@@ -278,14 +322,17 @@ def links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFram
     rank = F.xxhash64("node", F.col("s").bitwiseAND(F.lit(PIVOTS - 1)))
     pivot = F.min(F.struct(rank.alias("k"), F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("place").alias("cplace"), F.col("c").alias("cc"))).alias("p")
     hung = members(pivot).select("node", "size", "place", "c", "p.*").where("c <> cc").where(enough).select("node", "centre").distinct()
-    hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*_ends())
-    more = materialize(_matching(pairs.union(hung).distinct(), codes, threshold), "line-links")
+    hung = hung.join(parity, "node").join(cparity, "centre").where(able).select(*_ends(), (F.col("most") + F.col("cmost")).alias("total"))
+    pairs = pairs.withColumn("total", F.lit(None).cast("int")).union(hung).groupBy("node", "centre").agg(F.max("total").alias("total"))
+    pairs = materialize(pairs, "line-pairs")
+    more = materialize(_matching(pairs, codes, threshold), "line-links")
     comp = components(_edges(comp).union(more), "node", "centre", label="line-components")  # from stars on: few rounds
 
     named = materialize(members().drop("n_in").join(parity, "node"), "line-open")
-    last = materialize(_matching(_outside(named, enough & able).distinct(), own, threshold), "line-links")
-    drop_table(spark, codes, own, sketch, parity, rest, groups, named)
-    return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v")), repeated
+    outside = materialize(_outside(named, enough & able).distinct(), "line-pairs")
+    last = materialize(_matching(outside, own, threshold), "line-links")
+    drop_table(spark, codes, own, sketch, parity, rest, groups, named, spokes, pairs, outside)
+    return _edges(comp).union(last).select(F.col("node").alias("u"), F.col("centre").alias("v")), repeated, seen.select("doc_id", "line_no", "node")
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,13 +343,13 @@ def removed_lines(documents: DataFrame, threshold: float = 0.75, id_col: str = "
     """
     spark = documents.sparkSession
     rows = lines(documents, id_col, text_col)
-    edges, repeated = links(rows, threshold)
+    edges, repeated, seen = links(rows, threshold)
     comp = components(edges, label="line-components").select(F.col("id").alias("node"), F.col("component").alias("c"))
     # Only lines of classes of several are looked at again.
     named = comp.union(repeated.join(comp, "node", "left_anti").select("node", F.col("node").alias("c")))
-    alike = materialize(rows.select("doc_id", "line_no", "node").join(named, "node").select("doc_id", "line_no", "c"), "line-alike")
+    alike = materialize(seen.join(named, "node").select("doc_id", "line_no", "c"), "line-alike")
     keepers = alike.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
-    drop_table(spark, repeated)
+    drop_table(spark, repeated, seen)
     return alike.join(keepers, "c").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper"))).select(
         "doc_id", "line_no", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line")
     )
